@@ -8,10 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, exact_dedup, mixing
+from spindrift.llm import bpe, exact_dedup, minhash, mixing, quality
 from spindrift.llm.common import Scratch
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_copies(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
@@ -24,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, stored=True, with_ids=True)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix), ("BPE", encode)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("BPE", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

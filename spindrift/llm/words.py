@@ -57,7 +57,9 @@ def frequency_bound(table: DataFrame, most: int = FREQUENT) -> int:
     return least if least is not None else 1 << 62
 
 
-def sent(rows: DataFrame) -> list[pa.Array]:
+def sent(rows: DataFrame, order: list | None = None) -> list[pa.Array]:
     """The columns of a table whose size is bounded by FREQUENT."""
     table = rows.toArrow()
+    if order:
+        table = table.sort_by(order)
     return [c.combine_chunks() for c in table.columns]
