@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, partitions
-from .words import FREQUENT, LOWER, count_words, frequency_bound, sent
+from .words import LOWER, count_words, frequency_bound, sent
 
 #: Ids of the model's vocabulary: unknown words, the end of a text, the place before its beginning (context only), then words.
 UNKNOWN, END, BEGIN, WORDS = 0, 1, 2, 3
 VOCABULARY, DIMENSIONS = 2048, 32
+#: Words whose counts are sent to every task, at most.
+FREQUENT = 1 << 19
 NOISE, STEP_TOKENS, RATE, ROUNDS = 32, 4096, 0.05, 1
 HELD_OUT, FOLDS = 1, 5
 
