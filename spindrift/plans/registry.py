@@ -1,9 +1,9 @@
 """All queries of the library with their SQL."""
 
-from . import channels, logs, sequences, texts
+from . import channels, logs, media, sequences, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (channels, logs, sequences, texts):
+for _part in (channels, logs, media, sequences, texts):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

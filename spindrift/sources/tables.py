@@ -82,7 +82,7 @@ def paged_source(name: str, schema: str, fetch, keys: list[str], pages: int = 2)
         def schema(self):
             return schema
 
-        def reader(self, _):
+        def reader(self, schema):
             return _Pages(fetch, keys, pages)
 
     return Paged
