@@ -208,3 +208,21 @@ def shots(cuts: DataFrame, by: list[str], at: str, duration: str, least: float =
                  named_struct('s', bounds[i] + j * {most}D,
                               'e', CASE WHEN j = greatest(0, ceil((bounds[i + 1] - bounds[i] - {most + 1}D) / {most}D)) THEN bounds[i + 1] ELSE bounds[i] + (j + 1) * {most}D END))) END)"""))
     return whole.select(*by, F.posexplode("out").alias("index", "o")).select(*by, "index", "o.s", "o.e")
+
+
+def in_zones(boxes: DataFrame, zones: DataFrame, by: list[str], least: float = 0.3, reach: int = 36, width: int = 72) -> DataFrame:
+    """Boxes (frame, x0..y1) with the first zone (zone, lo, hi, x0..y1) that they overlap by more than least within reach
+    frames of its span."""
+    from ..functions.scalars import iou
+
+    z = zones.select(*by, "zone", (F.col("lo") - reach).alias("_lo"), (F.col("hi") + reach).alias("_hi"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    z = z.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
+    both = boxes.withColumn("_b", F.floor(F.col("frame") / width)).join(z, [*by, "_b"]).where((F.col("frame") >= F.col("_lo")) & (F.col("frame") <= F.col("_hi")))
+    side = lambda p: {c: F.col(p + c) for c in ("x0", "y0", "x1", "y1")}
+    return both.where(iou(side(""), side("_")) > least).groupBy(*boxes.columns).agg(F.min("zone").alias("zone"))
+
+
+def time_masks(rects: DataFrame, by: list[str], fps: float, slack: float = 0.25) -> DataFrame:
+    """Frames at which each rectangle (start, end in seconds) is masked, with slack at both ends."""
+    lo, hi = F.greatest(F.lit(0), F.floor((F.col("start") - slack) * fps)), F.ceil((F.col("end") + slack) * fps)
+    return rects.withColumn("frame", F.explode(F.sequence(lo, hi)))
