@@ -17,12 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, partitions
-from .tokens import WordIds, decoded, tokenizer
+from .common import Scratch, arrow_map, partitions, release
+from .tokens import decoded, encoded_words, tokenizer
 from .words import FREQUENT, count_words, frequency_bound, sent
 
 #: Stands for a word whose ids come later; ids must be smaller.
@@ -33,10 +32,8 @@ def word_table(docs: DataFrame, text_col: str, path: str | None = None) -> DataF
     """word, n, ids (binary, little-endian unsigned 16 bits): each distinct word encoded once."""
 
     def run(batches):
-        encode = WordIds(path)
         for batch in batches:
-            ids = [np.frombuffer(encode.__missing__(w), "<u4").astype("<u2").tobytes() for w in batch.column(0).cast(pa.binary()).to_pylist()]
-            encode.clear()
+            ids = encoded_words(batch.column(0).cast(pa.binary()).to_pylist(), path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return arrow_map(count_words(docs, text_col), run, "word string, n long, ids binary")
@@ -45,17 +42,20 @@ def word_table(docs: DataFrame, text_col: str, path: str | None = None) -> DataF
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, frequent: int = FREQUENT, stored: bool = False, with_ids: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
-    stored: docs is a plain scan of stored files, which gives the same rows in
-    the same tasks whenever it runs; otherwise docs is written first.
+    stored: docs is a plain scan of Parquet files, whose rows have a place
+    (file and row in it) that doesn't depend on the plan; otherwise docs is
+    written first.
     """
     spark = docs.sparkSession
     if tokenizer(path).get_vocab_size() > HOLE:
         raise ValueError(f"ids must be below {HOLE}")
     scratch = Scratch(spark)
-    docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     if not stored:
-        docs = scratch.keep(docs, "docs")
+        docs = scratch.keep(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), "docs")
+        id_col, text_col = "doc_id", "text"
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     table = scratch.keep(word_table(docs, "text", path), "words")
+    release(spark)
     least = frequency_bound(table, frequent)
     words, ids = sent(table.where(F.col("n") >= least).select("word", "ids"))
     known = spark.sparkContext.broadcast(dict(zip(words.cast(pa.binary()).to_pylist(), ids.to_pylist())))
@@ -63,9 +63,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def skeletons(batches):
         """Ids of each row with holes (place -1), and the words that belong in them in order."""
-        part, row, get = TaskContext.get().partitionId(), 0, known.value.get
+        get = known.value.get
         for batch in batches:
-            skeleton, rest, keys = [], [], []
+            skeleton, rest = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 split = (text or b"").split()
                 parts = list(map(get, split))
@@ -75,15 +75,13 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 else:
                     rest.append([])
                     skeleton.append(b"".join(parts))
-                keys.append((part << 32) + row)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(skeleton, pa.binary()), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["key", "doc_id", "ids", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), pa.array(skeleton, pa.binary()), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["file", "row", "doc_id", "ids", "rest"])
 
-    rows = arrow_map(docs, skeletons, "key long, doc_id long, ids binary, rest array<string>")
-    holes = rows.select("key", F.posexplode("rest").alias("place", "word"))
-    filled = holes.join(table.where(F.col("n") < least).select("word", "ids"), "word").select("key", "place", F.lit(None).cast("long").alias("doc_id"), "ids")
-    every = rows.select("key", F.lit(-1).alias("place"), "doc_id", "ids").unionByName(filled)
-    every = every.repartition(partitions(spark), "key").sortWithinPartitions("key", "place")
+    rows = arrow_map(docs, skeletons, "file long, row long, doc_id long, ids binary, rest array<string>")
+    holes = rows.select("file", "row", F.posexplode("rest").alias("place", "word"))
+    filled = holes.join(table.where(F.col("n") < least).select("word", "ids"), "word").select("file", "row", "place", F.lit(None).cast("long").alias("doc_id"), "ids")
+    every = rows.select("file", "row", F.lit(-1).alias("place"), "doc_id", "ids").unionByName(filled)
+    every = every.repartition(partitions(spark), "file", "row").sortWithinPartitions("file", "row", "place")
 
     def assemble(batches):
         key = doc = skeleton = None
@@ -114,11 +112,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for k, place, d, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, row, place, d, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if place < 0:
                     if skeleton is not None:
                         whole()
-                    key, doc, skeleton, parts = k, d, ids, []
+                    key, doc, skeleton, parts = (file, row), d, ids, []
                 else:
                     parts.append(ids)
             if len(out) >= 200:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +57,22 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remembered(key, make: Callable):
+    """What make() gives, made once in the life of a Python worker, which outlives its tasks. The library's functions
+    travel by value, so a module's own variables would begin anew in each task."""
+    store = sys.modules.setdefault("_spindrift_remembered", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage, which a
+    driver with little to do may put off until the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, arrow_map, partitions
-from .tokens import WordIds
+from .tokens import word_ids
 
 END = 2
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
@@ -39,12 +39,12 @@ def _lists(parts: list[bytes]) -> pa.Array:
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int | None = END, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids; end: the id appended to each document."""
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = b"" if end is None else np.array([end], "<u2").tobytes()
 
     def run(batches):
-        memo = WordIds(path)
+        memo = word_ids(path)
         for batch in batches:
-            parts = [memo.text(t or b"") + tail for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            parts = [np.frombuffer(p + tail, "<u2").astype("<u4").tobytes() for p in memo.texts(batch.column(1).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 4 for p in parts], pa.int64()), _lists(parts)], names=["doc_id", "n_tokens", "ids"])
 
     return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, FILE_SCHEMA)

@@ -7,50 +7,78 @@ pattern never look across white space, and its special tokens hold none.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
+from .common import remembered
+
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a task remembers.
-MEMO = 400_000
+#: Words that a worker remembers.
+MEMO = 1_000_000
+#: Words that are encoded in one call.
+CALL = 512
 
 
-@functools.cache
 def tokenizer(path: str | None = None):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+    def load():
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-    out.no_truncation()
-    out.no_padding()
-    return out
+        out = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        out.no_truncation()
+        out.no_padding()
+        return out
+
+    return remembered(("tokenizer", path), load)
 
 
-@functools.cache
 def pieces(path: str | None = None) -> np.ndarray:
     """Pieces by id, as UTF-8; the vocabulary is fixed, about 50,000 entries."""
-    t = tokenizer(path)
-    out = np.empty(t.get_vocab_size(), dtype=object)
-    for piece, i in t.get_vocab().items():
-        out[i] = piece.encode()
+
+    def load():
+        t = tokenizer(path)
+        out = np.empty(t.get_vocab_size(), dtype=object)
+        for piece, i in t.get_vocab().items():
+            out[i] = piece.encode()
+        return out
+
+    return remembered(("pieces", path), load)
+
+
+def encoded_words(words: list[bytes], path: str | None = None) -> list[bytes]:
+    """Ids of each word, as little-endian unsigned 16 bits; many words a call."""
+    encode, out = tokenizer(path).encode, []
+    for i in range(0, len(words), CALL):
+        part = words[i : i + CALL]
+        found = encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u2").tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right") * 2
+        last = 0
+        for end in ends.tolist():
+            out.append(ids[last:end])
+            last = end
     return out
 
 
 class WordIds(dict):
-    """word (bytes) -> ids as little-endian unsigned 32-bit integers, encoded when first met."""
+    """word -> ids. Words beyond MEMO are encoded whenever they are met: the first million hold the frequent ones."""
 
     def __init__(self, path: str | None = None):
-        self.encode = tokenizer(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = out = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-    def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.path = path
+
+    def texts(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text."""
+        split = [t.split() if t else [] for t in texts]
+        new = list({w for words in split for w in words if w not in self})
+        more = dict(zip(new, encoded_words(new, self.path)))
+        if len(self) + len(more) <= MEMO:
+            self.update(more)
+            return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join([self[w] if w in self else more[w] for w in words]) for words in split]
+
+
+def word_ids(path: str | None = None) -> WordIds:
+    """A worker's memory of words."""
+    return remembered(("words", path), lambda: WordIds(path))
 
 
 def decoded(ids: np.ndarray, path: str | None = None) -> bytes:
