@@ -32,31 +32,36 @@ ORC = {
 }
 
 
-def _lists(parts: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
-
-
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int | None = END, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids; end: the id appended to each document."""
+    """doc_id, n_tokens, ids (little-endian unsigned 16 bits); end: the id appended to each document."""
     tail = b"" if end is None else np.array([end], "<u2").tobytes()
 
     def run(batches):
         memo = word_ids(path)
         for batch in batches:
-            parts = [np.frombuffer(p + tail, "<u2").astype("<u4").tobytes() for p in memo.texts(batch.column(1).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 4 for p in parts], pa.int64()), _lists(parts)], names=["doc_id", "n_tokens", "ids"])
+            parts = [p + tail for p in memo.texts(batch.column(1).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 2 for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, "doc_id long, n_tokens long, ids binary")
+
 
-    return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, FILE_SCHEMA)
+def _widened(batches):
+    """Packed ids as lists of integers."""
+    for batch in batches:
+        parts = batch.column(2).to_pylist()
+        ends = np.cumsum([0, *[len(p) // 2 for p in parts]], dtype=np.int32)
+        flat = np.frombuffer(b"".join(parts), "<u2").astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
 
 def write_tokens(docs: DataFrame, path: str, **how) -> None:
-    """Encode docs and write them to path. The encoding is written once, unsorted, so that sampling the ranges doesn't repeat it."""
+    """Encode docs and write them to path. The encoding is written once, packed and unsorted, so that sampling the ranges
+    doesn't repeat it; ids become integers again as the files are written."""
     scratch = Scratch(docs.sparkSession)
     ids = scratch.keep(encoded(docs, **how), "ids")
     order = [F.col("doc_id").asc_nulls_last(), F.col("n_tokens")]
     files = ids.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, F.hash("ids"))
-    files.write.mode("overwrite").options(**ORC).orc(path)
+    arrow_map(files, _widened, FILE_SCHEMA).write.mode("overwrite").options(**ORC).orc(path)
     scratch.drop("ids")
 
 
