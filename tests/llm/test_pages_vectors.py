@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import html_text, rp_forest
 from spindrift.llm.common import Scratch
@@ -19,7 +20,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 def test_main_text():
     for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ('<article class="post has-sidebar">', "</article>")):
         page = PAGE.format(open=a, close=b, body="<p></p>")
-        assert html_text.main_text(page, set(), None) == "Title & more\n\nFirst bold text here\n\nSecond <tag>\n\none\n\ntwo"
+        main = {place for place, _, _ in html_text.blocks(page)}
+        assert html_text.main_text(page, main, set(), None) == "Title & more\n\nFirst bold text here\n\nSecond <tag>\n\none\n\ntwo"
 
 
 def test_wrapper_finds_text_without_articles(spark):
@@ -30,7 +32,7 @@ def test_wrapper_finds_text_without_articles(spark):
     assert "Own text number 3 of this page, long enough to count." in got[3].text.split("\n\n") and "Always the same" not in got[3].text
     assert got[10].text == "" and got[11].text == "" and got[12].text == "plain" and got[13].text == "no markup &am" and got[13].n_chars == 13
     assert html_text.extract(df).count() == len(pages) and html_text.extract(df.limit(0)).count() == 0
-    wrapper = html_text.wrappers(df.select("url", "html"), Scratch(spark)).where("host = 'h.example'").first()
+    wrapper = html_text.wrappers(df.select(html_text.host(F.col("url")).alias("host"), "html"), Scratch(spark)).where("host = 'h.example'").first()
     assert wrapper.pages == 7 and "(html/body/div.story/ul/li#text)+" in wrapper.wrapper
 
 
