@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, partitions, release
 from .tokens import decoded, encoded_words, tokenizer
-from .words import FREQUENT, count_words, frequency_bound, sent
+from .words import FREQUENT, count_words, frequency_bound, packed_table, unpacked_table
 
 #: Stands for a word whose ids come later; ids must be smaller.
 HOLE = 0xFFFF
@@ -57,13 +57,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = scratch.keep(word_table(docs, "text", path), "words")
     release(spark)
     least = frequency_bound(table, frequent)
-    words, ids = sent(table.where(F.col("n") >= least).select("word", "ids"))
-    known = spark.sparkContext.broadcast(dict(zip(words.cast(pa.binary()).to_pylist(), ids.to_pylist())))
+    known = packed_table(table.where(F.col("n") >= least).select("word", "ids"))
     hole = np.array([HOLE], "<u2").tobytes()
 
     def skeletons(batches):
         """Ids of each row with holes (place -1), and the words that belong in them in order."""
-        get = known.value.get
+        get = unpacked_table(known, lambda t: dict(zip(t.column("word").cast(pa.binary()).to_pylist(), t.column("ids").to_pylist()))).get
         for batch in batches:
             skeleton, rest = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():

@@ -7,13 +7,16 @@ so joining them by shuffle meets no hot key. Both ways cover every word.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, remembered
 
 #: Frequent words at most: a bound on what is sent to every task (about 30 MB), whatever the corpus.
 FREQUENT = 1 << 20
@@ -63,3 +66,22 @@ def sent(rows: DataFrame, order: list | None = None) -> list[pa.Array]:
     if order:
         table = table.sort_by(order)
     return [c.combine_chunks() for c in table.columns]
+
+
+def packed_table(rows: DataFrame) -> Broadcast:
+    """A table bounded by FREQUENT, sent as the bytes of an Arrow stream: the driver never holds its rows as objects."""
+    table = rows.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
+
+
+def unpacked_table(sent_bytes: Broadcast, build: Callable[[pa.Table], dict]) -> dict:
+    """What build makes of a packed table, once in a Python worker; it keeps the last one."""
+    last = remembered("last packed table", dict)
+    name, data = sent_bytes.value
+    if name not in last:
+        last.clear()
+        last[name] = build(pa.ipc.open_stream(data).read_all())
+    return last[name]
