@@ -106,6 +106,7 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     word, bit = (slot / FILTER_BITS).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % FILTER_BITS).cast("int")).alias("bit")
     filters = hits.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     suspects = runs.select("digest", "run", "n", key.alias("key"), text.alias("text"), word, bit).join(F.broadcast(filters), "word").where((F.col("bits").bitwiseAND(F.col("bit"))) != 0)
+    suspects = scratch.keep(suspects, "suspects")  # written, lest the optimiser join all texts with the hits first
     verified = suspects.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "text").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), F.col("run"))).alias("first"), F.sum("n").alias("size"))
     checked = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
@@ -116,7 +117,7 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
         index = index.unionByName(verified.join(split, "digest", "left_semi").select("digest", "first", "size", "text"))
     index = index.select("digest", "text", F.col("first.id").alias("keep_id"), F.col("first.run").alias("keep_run"), F.col("size").alias("group_size"))
     index = scratch.keep(index, "index")
-    scratch.drop("merged")
+    scratch.drop("merged", "suspects")
     return runs, index
 
 
