@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import sys
 import tempfile
@@ -66,13 +65,6 @@ def remembered(key, make: Callable):
     return store[key]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage, which a
-    driver with little to do may put off until the disks are full."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
