@@ -5,8 +5,16 @@ direction of two random vectors of a node, at the median of the node's sample);
 vectors near a hyperplane spill to both sides. The upper levels are fitted on
 at most SAMPLE vectors chosen by hash, and every vector goes down all trees.
 Leaves that are still large are split further in their task by the same rule.
-Vectors are compared within leaves by matrix products; pairs are verified in
-double precision and links of all trees are united.
+Vectors are compared within leaves by matrix products; pairs near the threshold
+are verified in double precision. Of a leaf's links a spanning forest is passed
+on, and the links of all trees give components.
+
+Hyperplanes cut through a large group of near vectors at every level, so trees
+alone lose links in it. Two more passes make up for that. Every vector that
+meets, within twice the threshold's angle, a member of another component larger
+than a leaf is compared with that component's members, all of them. Then the
+members of each component are compared with each other, all of them, in blocks,
+and links are counted there and never written as pairs.
 
 Equal vectors are collapsed first and stand as one vector with their number,
 so copies are never expanded into pairs.
@@ -35,7 +43,9 @@ SAMPLE, SAMPLE_NODE = 20_000, 32
 LEAF, LARGE = 800, 4096
 #: Share of a node's vectors on either side of a hyperplane that go to both sides.
 SPILL = 0.06
-SLACK = 1e-4  # what single precision may be off by; such pairs are verified in double
+SLACK = 1e-4  # what single precision may be off by, at least; such pairs are verified in double
+#: Members of a component that are compared with each other in one block.
+BLOCK = 8192
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -80,26 +90,86 @@ def descend(x: np.ndarray, nodes: dict[int, tuple]) -> list[tuple[int, np.ndarra
     return out
 
 
-def leaf_pairs(x: np.ndarray, exact: np.ndarray, least: float, rng, level: int = 0):
-    """(i, j) arrays of rows of a leaf whose cosine is least or more. x: unit vectors in single precision; exact: as given."""
+def parts_of(x: np.ndarray, rng, level: int = 0):
+    """Rows of the parts that a leaf is split into where it is large; x: unit vectors in single precision."""
     if len(x) > LARGE and level < 24 and (plane := hyperplane(x[rng.choice(len(x), min(len(x), 2000), replace=False)], rng)) is not None:
         side = x @ plane[0]
         parts = [np.flatnonzero(side <= plane[3]), np.flatnonzero(side > plane[1])]
         if max(map(len, parts)) < 0.9 * len(x):
             for rows in parts:
-                for i, j in leaf_pairs(x[rows], exact[rows], least, rng, level + 1):
-                    yield rows[i], rows[j]
+                for part in parts_of(x[rows], rng, level + 1):
+                    yield rows[part]
             return
-    for a in range(0, len(x), 1024):
-        for b in range(a, len(x), 1024):
-            i, j = np.nonzero(x[a : a + 1024] @ x[b : b + 1024].T >= least - SLACK)
-            i, j = i + a, j + b
-            i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), 50_000):
-                u, v = exact[i[k : k + 50_000]], exact[j[k : k + 50_000]]
-                cos = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
-                ok = cos >= least
-                yield i[k : k + 50_000][ok], j[k : k + 50_000][ok]
+    yield np.arange(len(x))
+
+
+def reached(x: np.ndarray, y: np.ndarray, exact_x: np.ndarray, exact_y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the cosine of each row of x and each of y is least or more, as a matrix. x, y: unit vectors in single precision;
+    exact_x, exact_y: as given."""
+    slack = max(SLACK, x.shape[1] * 2.0**-23)
+    cos = x @ y.T
+    out = cos >= least + slack
+    i, j = np.nonzero((cos >= least - slack) & ~out)
+    for k in range(0, len(i), 50_000):
+        u, v = exact_x[i[k : k + 50_000]], exact_y[j[k : k + 50_000]]
+        cos = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
+        out[i[k : k + 50_000], j[k : k + 50_000]] = cos >= least
+    return out
+
+
+def leaf_pairs(x: np.ndarray, exact: np.ndarray, least: float, rng):
+    """(i, j) arrays of rows of a leaf whose cosine is least or more. x: unit vectors in single precision; exact: as given."""
+    for rows in parts_of(x, rng):
+        for a in range(0, len(rows), 1024):
+            for b in range(a, len(rows), 1024):
+                u, v = rows[a : a + 1024], rows[b : b + 1024]
+                i, j = np.nonzero(reached(x[u], x[v], exact[u], exact[v], least))
+                if a == b:
+                    i, j = i[i < j], j[i < j]
+                yield u[i], v[j]
+
+
+def joining(pairs, n: int):
+    """Of (i, j) arrays over n rows those that join two groups not joined before: a spanning forest."""
+    label = np.arange(n)
+    for i, j in pairs:
+        while True:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+            high, first = np.unique(high, return_index=True)
+            yield i[first], j[first]
+            parent = np.arange(n)
+            parent[high] = low[first]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+
+
+def counted(x: np.ndarray, exact: np.ndarray, copies: np.ndarray, second: np.ndarray, own: bool, least: float) -> np.ndarray:
+    """Copies that each row links with: rows of the first block with those of the second one, or a block with itself (own)."""
+    out = np.zeros(len(x))
+    left, right = (np.arange(len(x)),) * 2 if own else (np.flatnonzero(~second), np.flatnonzero(second))
+    for a in range(0, len(left), 1024):
+        for b in range(a if own else 0, len(right), 1024):
+            u, v = left[a : a + 1024], right[b : b + 1024]
+            hit = reached(x[u], x[v], exact[u], exact[v], least)
+            if own and a == b:
+                np.fill_diagonal(hit, False)
+                hit &= hit.T
+            hit = hit.astype(np.float64)
+            out[u] += hit @ copies[v]
+            if not (own and a == b):
+                out[v] += copies[u] @ hit
+    return out
+
+
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors in single precision, vectors as given) of a group's rows."""
+    exact = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(len(table), -1)
+    return unit(exact).astype(np.float32), exact
 
 
 def vector_groups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, trees: int = TREES, sample_rows: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
@@ -134,7 +204,7 @@ def vector_groups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id",
     def dealt(batches):
         model = planted.value
         for batch in batches:
-            ids, v = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            v = batch.column(1).to_pylist()
             length = np.array([len(b) for b in v])
             for size in np.unique(length).tolist():
                 rows = np.flatnonzero(length == size)
@@ -143,34 +213,109 @@ def vector_groups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id",
                 for t in range(trees if planes else 1):
                     for node, part in descend(x, planes[t] if planes else {}):
                         if len(part):
-                            at = rows[part]
+                            at = pa.array(rows[part])
                             leaf_key = np.full(len(at), (size << 44) + (t << 36) + node, np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(leaf_key), pa.array(ids[at]), batch.column(1).take(pa.array(at))], names=["leaf", "id", "v"])
+                            yield pa.RecordBatch.from_arrays([pa.array(leaf_key), *[c.take(at) for c in batch.columns]], names=["leaf", *batch.schema.names])
 
-    dealt_rows = arrow_map(reps.select("id", "v"), dealt, "leaf long, id long, v binary")
-    dealt_rows = dealt_rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "id")
+    def leaves(rows: DataFrame, more: str = "") -> DataFrame:
+        rows = arrow_map(rows, dealt, f"leaf long, id long, v binary{more}")
+        return rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "id")
+
+    def leaf_rng(table: pa.Table):
+        return np.random.default_rng(int(table.column("leaf")[0].as_py()) % (1 << 32))
 
     def linked(batches):
         for table in _grouped(batches, 1):
             ids = table.column("id").to_numpy()
             if len(ids) < 2:
                 continue
-            exact = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(len(ids), -1)
-            for i, j in leaf_pairs(unit(exact).astype(np.float32), exact, least, np.random.default_rng(int(table.column("leaf")[0].as_py()) % (1 << 32))):
-                if len(i):
-                    yield _pairs(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
-
-    pairs = scratch.keep(arrow_map(dealt_rows, linked, "a long, b long").where("a <> b").distinct(), "pairs")
-    groups = scratch.keep(components(pairs, scratch), "components")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(reps.groupBy(F.col("id").alias("b")).agg(F.sum("copies").alias("copies")), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("links"))
+            x, exact = _vectors(table)
+            for i, j in joining(leaf_pairs(x, exact, least, leaf_rng(table)), len(ids)):
+                yield _pairs(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+
+    def labelled(groups: DataFrame) -> DataFrame:
+        """id, component, m (its members) of vectors that are linked."""
+        return groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component").select("id", "component", "m")
+
+    links = scratch.keep(arrow_map(leaves(reps.select("id", "v")), linked, "a long, b long").where("a <> b").distinct(), "links")
+    groups = scratch.keep(components(links, scratch, "first_"), "groups1")
+
+    # components larger than a leaf: whoever comes near one of their members meets them all
+    dense = scratch.keep(labelled(groups).where(F.col("m") > leaf), "dense")
+    if dense.limit(1).count():
+        around = 2 * least * least - 1 if least > 0 else -1.0
+
+        def near(batches):
+            for table in _grouped(batches, 1):
+                is_dense = table.column("dense").to_numpy(zero_copy_only=False).astype(bool)
+                if not is_dense.any() or len(is_dense) < 2:
+                    continue
+                ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+                x, _ = _vectors(table)
+                found = set()
+                for rows in parts_of(x, leaf_rng(table)):
+                    theirs = rows[is_dense[rows]]
+                    for c in np.unique(comp[theirs]).tolist():
+                        members, others = theirs[comp[theirs] == c], rows[comp[rows] != c]
+                        for a in range(0, len(others), 1024):
+                            u = others[a : a + 1024]
+                            for b in range(0, len(members), 1024):
+                                hit = (x[u] @ x[members[b : b + 1024]].T >= around - SLACK).any(axis=1)
+                                found.update((i, c) for i in ids[u[hit]].tolist())
+                                u = u[~hit]
+                if found:
+                    yield _pairs(*map(list, zip(*sorted(found))))
+
+        def met(batches):
+            for table in _grouped(batches, 2):
+                probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+                if probe.all() or not probe.any():
+                    continue
+                ids, (x, exact) = table.column("id").to_numpy(), _vectors(table)
+                home, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+                for a in range(0, len(probes), 1024):
+                    u = probes[a : a + 1024]
+                    for b in range(0, len(home), 1024):
+                        v = home[b : b + 1024]
+                        hit = reached(x[u], x[v], exact[u], exact[v], least)
+                        some = hit.any(axis=1)
+                        i, j = ids[u[some]], ids[v[hit[some].argmax(axis=1)]]
+                        yield _pairs(np.minimum(i, j), np.maximum(i, j))
+                        u = u[~some]
+
+        marked = reps.join(groups, "id", "left").join(dense.select("id", F.lit(True).alias("dense")), "id", "left")
+        marked = marked.select("id", "v", F.coalesce("component", "id").alias("component"), F.coalesce("dense", F.lit(False)).alias("dense"))
+        probes = scratch.keep(arrow_map(leaves(marked, ", component long, dense boolean"), near, "a long, b long").distinct(), "probes")
+        sizes_of = dense.select("component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).distinct()
+        home = dense.select("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("block"), "id", F.lit(False).alias("probe"))
+        strays = probes.select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes_of, "component")
+        strays = strays.select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "id", F.lit(True).alias("probe"))
+        blocks = home.unionByName(strays).join(reps.select("id", "v"), "id").select("component", "block", "id", "probe", "v")
+        blocks = blocks.repartition(partitions(spark), "component", "block").sortWithinPartitions("component", "block", "id")
+        more = scratch.keep(arrow_map(blocks, met, "a long, b long").distinct(), "links2")
+        groups = scratch.keep(components(links.unionByName(more), scratch, "second_"), "groups2")
+
+    def tallied(batches):
+        for table in _grouped(batches, 3):
+            x, exact = _vectors(table)
+            own = table.column("first")[0] == table.column("other")[0]
+            n = counted(x, exact, table.column("copies").to_numpy().astype(np.float64), table.column("second").to_numpy(zero_copy_only=False).astype(bool), own, least)
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(n.astype(np.int64))], names=["id", "links"])
+
+    # each two blocks of a component meet once, and each block itself
+    placed = labelled(groups).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met_by = placed.select("component", "id", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("k"))
+    met_by = met_by.select("component", F.least("block", "k").alias("first"), F.greatest("block", "k").alias("other"), "id", (F.col("block") > F.col("k")).alias("second"))
+    blocks = met_by.join(reps.select("id", "v", "copies"), "id").select("component", "first", "other", "id", "second", "copies", "v")
+    blocks = blocks.repartition(partitions(spark), "component", "first", "other").sortWithinPartitions("component", "first", "other", "id")
+    others = scratch.keep(arrow_map(blocks, tallied, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")), "tallies")
     facts = reps.join(others, "id", "left").join(groups, "id", "left").select(
         "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # the vector's digest joins a row to its facts: the bytes themselves needn't travel twice
     facts = facts.select(F.sha2("v", 256).alias("digest"), "n_links", "component_id")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.sha2("v", 256)).alias("digest")).join(facts, "digest", "left")
     out = scratch.keep(out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "groups")
-    scratch.drop("vectors", "reps", "pairs", "components")
+    scratch.drop("vectors", "reps", "links", "groups1", "dense", "probes", "links2", "groups2", "tallies")
     return out
 
 

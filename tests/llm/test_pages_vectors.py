@@ -82,6 +82,22 @@ def test_vectors(spark, leaf):
     assert rp_forest.vector_groups(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_large_group_of_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "BLOCK", 300, raising=False)
+    rng = np.random.default_rng(11)
+    unit = rp_forest.unit
+    centre = unit(rng.standard_normal((1, 32)))
+    x = np.concatenate([unit(centre + unit(rng.standard_normal((1000, 32))) * 0.2), unit(centre + unit(rng.standard_normal((40, 32))) * 0.4), unit(rng.standard_normal((960, 32)))])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    hit = unit(x) @ unit(x).T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.vector_groups(df, Scratch(spark), leaf=40).collect()}
+    label = np.arange(len(x))
+    while ((least := np.where(hit, label, len(x)).min(axis=1)) != label).any():
+        label = least
+    assert got == {i: (int(hit[i].sum()) - 1, int(label[i])) for i in range(len(x))}
+
+
 def test_large_leaf_is_split():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((6000, 8))
