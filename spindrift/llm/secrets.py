@@ -3,9 +3,9 @@
 The base finds assignments, access keys and hex runs. The method adds spans of
 kind "random": a vocabulary trained on text needs many tokens for random
 strings, so a run of key-like characters that averages few characters a token
-is suspect. Known digests (bare hex) and identifiers (UUIDs, words joined by
-separators or by case, numbers and dates, paths) are excluded first, as are
-runs inside base spans.
+is suspect. Known digests (bare hex), UUIDs, and numbers and dates are excluded
+first, as are runs inside base spans. Paths and names in capitals are left out
+where the vocabulary covers their words, in lower case, with long tokens.
 
 Nulls: a null text is empty and has no spans; a null identifier is carried
 along. Each row is scanned by itself, so repeated rows repeat their result and
@@ -27,6 +27,8 @@ from .common import arrow_map
 KINDS = ("assign", "access", "hex", "random")
 #: Shortest run that is tested, and the characters a token below which it is random.
 MIN_RUN, MAX_RATIO = 20, 2.2
+#: Letters a token from which words of a run, each by itself in lower case, are known ones.
+WORD_RATIO = 3
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -37,8 +39,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-#: Words with optional digits after them, joined by separators or by capitals; also plain numbers.
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}[+/_=-]*)+|[0-9+/_=-]+")
+#: Numbers and dates.
+NUMBER = re.compile(r"[0-9+/_=-]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @functools.cache
@@ -52,17 +55,14 @@ def vocabulary(path: str | None):
 
 
 def excluded(run: str) -> bool:
-    """A known digest or an identifier: words of one case joined by separators or by single capitals.
+    """A known digest or UUID, or no letters at all."""
+    return bool(UUID.fullmatch(run) or DIGEST.fullmatch(run) or NUMBER.fullmatch(run))
 
-    Mixed case without structure isn't an identifier: random base64 changes case every other character,
-    so parts of an identifier average three letters at least.
-    """
-    if UUID.fullmatch(run) or DIGEST.fullmatch(run):
-        return True
-    if not IDENTIFIER.fullmatch(run):
-        return False
-    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", run)
-    return not parts or sum(map(len, parts)) >= 3 * len(parts)
+
+def worded(run: str, encoding) -> bool:
+    """Whether the vocabulary covers the run's words with long tokens, whatever their case."""
+    parts = PART.findall(run)
+    return sum(map(len, parts)) >= WORD_RATIO * sum(len(encoding.encode_ordinary(" " + p.lower())) for p in parts)
 
 
 def scan(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
@@ -74,7 +74,7 @@ def scan(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, i
     for m in RUN.finditer(text):
         if any(a < m.end() and m.start() < b for a, _, b in base) or excluded(m[0]):
             continue
-        if len(m[0]) < max_ratio * len(encoding.encode_ordinary(m[0])):
+        if len(m[0]) < max_ratio * len(encoding.encode_ordinary(m[0])) and not worded(m[0], encoding):
             spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 

@@ -213,6 +213,17 @@ def test_secrets(spark, docs, rows):
     assert extra[1009] == 1 and extra[1010] == 0 and extra[1011] == 0
 
 
+def test_secrets_of_one_case_are_tested():
+    rng, encoding = random.Random(8), secrets.vocabulary(None)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (lower + digits, lower.upper() + digits, lower.upper() + "234567", lower, lower.upper()):
+        for size in (20, 32, 40):
+            keys = ["".join(rng.choices(letters, k=size)) for _ in range(100)]
+            assert sum(secrets.scan(f"key {k} end", encoding) == [(4, 3, 4 + size)] for k in keys) >= 97
+    for name in ("/home/user/projects/app/src/main/java", "/var/log/nginx/2024/01/15/access", "MAX_BUFFER_SIZE_IN_BYTES", "maxConnectionsPerHostSetting", "2024-01-15/2024-02-20", "-" * 40, "d41d8cd98f00b204e9800998ecf8427e".upper()):
+        assert secrets.scan(name, encoding) == []
+
+
 def shingles(text, n):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(w)
