@@ -4,6 +4,7 @@ columns with clashing names."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,6 +225,13 @@ def test_secrets_of_one_case_are_tested():
         assert secrets.scan(name, encoding) == []
 
 
+def test_secret_scan_of_long_words_ends():
+    began = time.process_time()
+    secrets.scan("orderconfirmationdetails" + "x" + "12345", secrets.vocabulary(None))
+    secrets.scan("orderconfirmationdetails" * 200 + "12345", secrets.vocabulary(None))
+    assert time.process_time() - began < 5
+
+
 def shingles(text, n):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(w)
