@@ -9,8 +9,9 @@ slot. Distinct streams are counted with map-side combining, so a hot host costs
 its distinct shapes, not its pages.
 
 The wrapper then says what a page's main text is: slots under an article or
-main element where the host has one; otherwise the container whose slots hold
-most text over the host's pages, without texts that most of its pages share.
+main element where the host has one; otherwise all slots, without texts that
+most of the host's distinct pages share at one place. A page of which nothing
+else would be left keeps its shared texts.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are never part of it.
 
@@ -159,28 +160,31 @@ def code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def at_place(place: str, text: str) -> int:
+    return code(f"{place}\n{text}")
+
+
 def shapes(pages: DataFrame) -> DataFrame:
-    """pages: host, html. host, kind, a, b, n, size: of each page its folded stream (kind 0), of each of its blocks outside
-    articles the place and the text's code (kind 1)."""
+    """pages: host, html. host, kind, a, b, page, n: of each page its folded stream (kind 0), of each of its blocks outside
+    articles the code of place and text (kind 1), and the code of its contents (kind 2)."""
 
     def run(batches):
         for batch in batches:
-            rows: dict[tuple, list] = {}
+            rows: dict[tuple, int] = {}
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = blocks(page or "")
                 stream = json.dumps(folded([place for place, _, _ in found]))
-                entry = rows.setdefault((h, 0, stream, 0), [0, 0])
-                entry[0] += 1
+                rows[h, 0, stream, 0, 0] = rows.get((h, 0, stream, 0, 0), 0) + 1
+                contents = code(json.dumps(found))
+                rows[h, 2, "", 0, contents] = 1
                 if any(inside for _, inside, _ in found):
                     continue  # no statistics of texts are needed
-                for place, text in {(place, text) for place, _, text in found}:
-                    entry = rows.setdefault((h, 1, place, code(text)), [0, 0])
-                    entry[0] += 1
-                    entry[1] += len(text)
+                for place, _, text in found:
+                    rows[h, 1, "", at_place(place, text), contents] = 1
             keys = list(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int64()), pa.array([rows[k][0] for k in keys], pa.int64()), pa.array([rows[k][1] for k in keys], pa.int64())], names=["host", "kind", "a", "b", "n", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int64()), pa.array([k[4] for k in keys], pa.int64()), pa.array([rows[k] for k in keys], pa.int64())], names=["host", "kind", "a", "b", "page", "n"])
 
-    return arrow_map(pages, run, "host string, kind int, a string, b long, n long, size long")
+    return arrow_map(pages, run, "host string, kind int, a string, b long, page long, n long")
 
 
 ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
@@ -194,9 +198,9 @@ def slots(wrapper: list[list]) -> list[str]:
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """pages: host, html. host, pages, wrapper (a union-free expression), slots, shared (codes of texts that most pages hold at
-    one place outside articles), region (the container outside articles with most other text)."""
-    found = shapes(pages).groupBy("host", "kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    """pages: host, html. host, pages, wrapper (a union-free expression), slots, shared (codes of places outside articles
+    and texts there that most distinct pages hold)."""
+    found = shapes(pages).groupBy("host", "kind", "a", "b", "page").agg(F.sum("n").alias("n"))  # copies of a page fall together
     found = scratch.keep(found, "shapes")
 
     def infer(batches):
@@ -220,21 +224,20 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     streams = found.where("kind = 0").select("host", "a", "n").repartition("host").sortWithinPartitions("host", F.desc("n"), "a")
     out = scratch.keep(arrow_map(streams, infer, "host string, pages long, wrapper string, slots array<string>"), "wrappers")
-    texts = found.where("kind = 1").join(out.select("host", "pages"), "host")
-    often = (F.col("n") >= 3) & (F.col("n") * 2 >= F.col("pages"))
+    distinct = found.where("kind = 2").groupBy("host").agg(F.count(F.lit(1)).alias("distinct"))
+    texts = found.where("kind = 1").groupBy("host", "b").agg(F.count(F.lit(1)).alias("n")).join(distinct, "host")
+    often = (F.col("n") >= 3) & (F.col("n") * 2 >= F.col("distinct"))
     shared = texts.where(often).groupBy("host").agg(F.collect_set("b").alias("shared"))  # two a page's block at most
-    region = texts.where(~often).withColumn("container", F.regexp_replace("a", "/[^/]*$", "")).groupBy("host", "container").agg(F.sum("size").alias("size")).groupBy("host").agg(F.max_by("container", F.struct("size", "container")).alias("region"))
-    return out.join(shared, "host", "left").join(region, "host", "left")
+    return out.join(shared, "host", "left")
 
 
-def main_text(page: str, main: set, shared: set, region: str | None) -> str:
+def main_text(page: str, main: set, shared: set, region: str | None = None) -> str:
     """A page's text by its host's wrapper: what fills the main slots. A page without any of them, or a host without an
-    article, gives what its region holds of texts that aren't shared."""
+    article, gives all its texts that aren't shared, or all its texts where each is. region isn't used any more."""
     found = blocks(page)
     inside = [text for place, article, text in found if article and place in main]
     if not inside:
-        rest = [(place, text) for place, _, text in found if code(text) not in shared]
-        inside = [text for place, text in rest if region is not None and place.startswith(region)] or [text for _, text in rest]
+        inside = [text for place, _, text in found if at_place(place, text) not in shared] or [text for _, _, text in found]
     return "\n\n".join(inside)
 
 
@@ -246,11 +249,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(page or "", set(m or ()), set(s or ()), r) for page, m, s, r in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            texts = [main_text(page or "", set(m or ()), set(s or ())) for page, m, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     # a row a host: Spark sends that side to all tasks where its size allows, and splits a hot host's pages otherwise
-    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "slots", "shared", "region")
+    rows = pages.join(learned, "host", "left").select("page_id", "url", "html", "slots", "shared")
     return arrow_map(rows, run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 

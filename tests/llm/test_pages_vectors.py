@@ -36,6 +36,17 @@ def test_wrapper_finds_text_without_articles(spark):
     assert wrapper.pages == 7 and "(html/body/div.story/ul/li#text)+" in wrapper.wrapper
 
 
+def test_no_text_is_lost_without_articles(spark):
+    copy = "<body><div class='story'><p>A page that is stored three times.</p></div></body>"
+    pages = [("http://c.example", copy)] * 3 + [("http://c.example", f"<body><div class='story'><p>Other {i}</p></div></body>") for i in range(3)]
+    pages += [("http://o.example", copy)] * 3
+    pages += [("http://s.example", f"<body><div class='one'><p>First part {i}, the longer one of them.</p></div><div class='two'><p>Second part {i}</p></div><div class='foot'><p>Template</p></div></body>") for i in range(4)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+    assert got[:9] == ["A page that is stored three times."] * 3 + [f"Other {i}" for i in range(3)] + ["A page that is stored three times."] * 3
+    assert got[9:] == [f"First part {i}, the longer one of them.\n\nSecond part {i}" for i in range(4)]
+
+
 def test_alignment_generalises():
     w = [[*s, False] for s in html_text.folded(["a", "p", "p", "z"])]
     w = html_text.aligned(w, html_text.folded(["a", "b", "p", "z"]))
