@@ -8,7 +8,7 @@ becomes repeated, and a place whose text differs between pages becomes a text
 slot. Distinct streams are counted with map-side combining, so a hot host costs
 its distinct shapes, not its pages.
 
-The wrapper then says what a page's main text is: slots under an article or
+A page's main text is not decided by the alignment: slots under an article or
 main element where the host has one; otherwise all slots, without texts that
 most of the host's distinct pages share at one place. A page of which nothing
 else would be left keeps its shared texts.
