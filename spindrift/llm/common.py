@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,46 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Scratch as Tables
+
 #: A word, in Java's, DuckDB's and Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch. Texts may be long, so batches are short.
-BATCH_ROWS = 500
+#: Rows in an Arrow batch, Spark's setting for them and its default.
+BATCH_ROWS, ARROW_ROWS, DEFAULT_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see; a temporary one where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spindrift-")
-        atexit.register(shutil.rmtree, found, True)
-        sc.setCheckpointDir(found)
-    return found
+def short_batches(spark: SparkSession) -> None:
+    """Texts may be long, so Arrow batches are short, unless the caller has chosen a length. A result is evaluated after the
+    operator returns, so this one setting of the session stays."""
+    if spark.conf.get(ARROW_ROWS, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
 
-class Scratch:
-    """Tables written to the shared folder. They cut lineage, so a lost executor costs at most the stage at hand."""
+class Scratch(Tables):
+    """Tables in the shared folder, for operators on texts."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/spindrift-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-        """Write a table and return it as read back."""
-        df.write.mode("overwrite").options(**{"compression": "zstd"} | (options or {})).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing returned depends on."""
-        jvm = self.spark._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        super().__init__(spark)
+        short_batches(spark)
 
 
 def remembered(key, make: Callable):
@@ -79,7 +57,7 @@ def column_at(df: DataFrame, name: str) -> int:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    short_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

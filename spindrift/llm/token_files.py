@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, arrow_map, partitions
-from .tokens import word_ids
+from .tokens import id_type, word_ids
 
 END = 2
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
@@ -33,25 +33,31 @@ ORC = {
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int | None = END, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 16 bits); end: the id appended to each document."""
-    tail = b"" if end is None else np.array([end], "<u2").tobytes()
+    """doc_id, n_tokens, ids (packed in the vocabulary's id_type); end: the id appended to each document."""
+    kind = np.dtype(id_type(path))
+    tail = b"" if end is None else np.array([end], kind).tobytes()
 
     def run(batches):
         memo = word_ids(path)
         for batch in batches:
             parts = [p + tail for p in memo.texts(batch.column(1).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 2 for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // kind.itemsize for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, "doc_id long, n_tokens long, ids binary")
 
 
-def _widened(batches):
+def _widened(path: str | None):
     """Packed ids as lists of integers."""
-    for batch in batches:
-        parts = batch.column(2).to_pylist()
-        ends = np.cumsum([0, *[len(p) // 2 for p in parts]], dtype=np.int32)
-        flat = np.frombuffer(b"".join(parts), "<u2").astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+    kind = np.dtype(id_type(path))
+
+    def run(batches):
+        for batch in batches:
+            parts = batch.column(2).to_pylist()
+            ends = np.cumsum([0, *[len(p) // kind.itemsize for p in parts]], dtype=np.int32)
+            flat = np.frombuffer(b"".join(parts), kind).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, **how) -> None:
@@ -61,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, **how) -> None:
     ids = scratch.keep(encoded(docs, **how), "ids")
     order = [F.col("doc_id").asc_nulls_last(), F.col("n_tokens")]
     files = ids.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, F.hash("ids"))
-    arrow_map(files, _widened, FILE_SCHEMA).write.mode("overwrite").options(**ORC).orc(path)
+    arrow_map(files, _widened(how.get("path")), FILE_SCHEMA).write.mode("overwrite").options(**ORC).orc(path)
     scratch.drop("ids")
 
 

@@ -3,11 +3,15 @@
 Splitting a text at ASCII white space and encoding the words one by one gives
 the ids of the whole text: the vocabulary's normaliser and its splitting
 pattern never look across white space, and its special tokens hold none.
+
+A null or empty text has no ids. A text of any length is encoded word by word,
+so memory follows its words, and a word that repeats is encoded once a worker.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .common import remembered
 
@@ -31,27 +35,32 @@ def tokenizer(path: str | None = None):
     return remembered(("tokenizer", path), load)
 
 
-def pieces(path: str | None = None) -> np.ndarray:
-    """Pieces by id, as UTF-8; the vocabulary is fixed, about 50,000 entries."""
+def pieces(path: str | None = None) -> pa.Array:
+    """The table of pieces, in the order of ids: UTF-8 with a space after each. decode() of a vocabulary without a decoder gives
+    the pieces with a space between. As large as the vocabulary, about 50,000 entries."""
 
     def load():
         t = tokenizer(path)
-        out = np.empty(t.get_vocab_size(), dtype=object)
-        for piece, i in t.get_vocab().items():
-            out[i] = piece.encode()
-        return out
+        known = {i: piece.encode() + b" " for piece, i in t.get_vocab().items()}
+        return pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
 
     return remembered(("pieces", path), load)
 
 
+def id_type(path: str | None = None) -> str:
+    """The narrowest of two little-endian types that hold the vocabulary's ids."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def encoded_words(words: list[bytes], path: str | None = None) -> list[bytes]:
-    """Ids of each word, as little-endian unsigned 16 bits; many words a call."""
+    """Ids of each word, in the vocabulary's id_type; many words a call."""
+    kind = np.dtype(id_type(path))
     encode, out = tokenizer(path).encode, []
     for i in range(0, len(words), CALL):
         part = words[i : i + CALL]
         found = encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u2").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right") * 2
+        ids = np.array(found.ids, kind).tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right") * kind.itemsize
         last = 0
         for end in ends.tolist():
             out.append(ids[last:end])
@@ -79,8 +88,3 @@ class WordIds(dict):
 def word_ids(path: str | None = None) -> WordIds:
     """A worker's memory of words."""
     return remembered(("words", path), lambda: WordIds(path))
-
-
-def decoded(ids: np.ndarray, path: str | None = None) -> bytes:
-    """What decode(ids, skip_special_tokens=False) gives where the vocabulary has no decoder: pieces with a space between."""
-    return b" ".join(pieces(path)[ids].tolist())

@@ -2,7 +2,12 @@
 
 A word's frequency decides how rows meet it: the frequent words, at most a
 fixed number, are few enough to send to every task; the rest occur seldom each,
-so joining them by shuffle meets no hot key. Both ways cover every word.
+so joining them by shuffle meets no hot key. Both ways cover every word. The
+number is far below the distinct words of any corpus worth a cluster, so the
+split doesn't move with the size of the input.
+
+Nulls and empty texts have no words; repeated rows count each; a text of any
+length is split in its task; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -18,21 +23,26 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, remembered
 
-#: Frequent words at most: a bound on what is sent to every task (about 30 MB), whatever the corpus.
-FREQUENT = 1 << 20
+#: Frequent words at most: a bound on what is sent to every task (some MB), whatever the corpus.
+FREQUENT = 1 << 18
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def count_words(docs: DataFrame, text_col: str, lower: bool = False) -> DataFrame:
-    """word, n: all distinct words of all texts. Tasks count locally, then counts meet by word."""
+def count_words(docs: DataFrame, text_col: str, lower: bool = False, least: int = 1) -> DataFrame:
+    """word, n: all distinct words of all texts. Tasks count locally, then counts meet by word.
+
+    With least above 1, counts below it stay in their task: enough to tell
+    which words are frequent, with few rows to shuffle.
+    """
 
     def run(batches):
         counts: Counter = Counter()
 
         def passed():
-            words, n = list(counts), list(counts.values())
+            found = [(w, k) for w, k in counts.items() if k >= least]
+            words, n = [w for w, _ in found], [k for _, k in found]
             for i in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()).cast(pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["word", "n"])
             counts.clear()
@@ -68,18 +78,18 @@ def sent(rows: DataFrame, order: list | None = None) -> list[pa.Array]:
     return [c.combine_chunks() for c in table.columns]
 
 
-def packed_table(rows: DataFrame) -> Broadcast:
+def packed_table(rows: DataFrame, order: list) -> Broadcast:
     """A table bounded by FREQUENT, sent as the bytes of an Arrow stream: the driver never holds its rows as objects."""
-    table = rows.toArrow()
+    table = rows.toArrow().sort_by(order)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
 
 
-def unpacked_table(sent_bytes: Broadcast, build: Callable[[pa.Table], dict]) -> dict:
-    """What build makes of a packed table, once in a Python worker; it keeps the last one."""
-    last = remembered("last packed table", dict)
+def unpacked_table(sent_bytes: Broadcast, form: str, build: Callable[[pa.Table], object]):
+    """What build makes of a packed table, once in a Python worker; it keeps the last one of each form."""
+    last = remembered(("last packed table", form), dict)
     name, data = sent_bytes.value
     if name not in last:
         last.clear()
