@@ -1,8 +1,14 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
-Each step is an aggregation with map-side combining and a join, so a vertex
-with very many links meets no single task; links never reach the driver, and
-each round is written to the shared folder.
+Each step finds the smallest neighbour of each vertex, with map-side combining,
+and writes it; joining it back to the links is then a join of two stored
+tables, which Spark broadcasts where its size allows and whose hot vertices it
+splits elsewhere. Links never reach the driver, and each round is written to
+the shared folder.
+
+Nulls: a link with a null end is no link. Repeated links count once, loops not
+at all; an empty table gives an empty result. Columns besides a and b are not
+read.
 """
 
 from __future__ import annotations
@@ -21,13 +27,14 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     while True:
         # large star: the larger neighbours of u go to the smallest vertex near u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        near = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_near")
         large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.keep(large, f"{name}_large")
         # small star: the smaller neighbours of u, and u, go to the smallest of them
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least")
         small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = scratch.keep(small, f"{name}{turn + 1}")
-        scratch.drop(f"{name}{turn}")
+        scratch.drop(f"{name}{turn}", f"{name}_near", f"{name}_large", f"{name}_least")
         turn += 1
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:

@@ -11,7 +11,8 @@ Equal sets are collapsed first. Buckets are compared in blocks of bounded size
 in sorted streams, and only links that join two groups not yet joined in the
 block are passed on (a spanning forest, not all pairs). A second pass compares
 whatever lies in one bucket but in different components, completely: members
-outside the bucket's largest component meet all its members, block by block.
+outside the bucket's largest component meet all its members, a block of the
+ones with a block of the others at a time, so a task holds two blocks.
 Components of confirmed links are then final. No bucket is capped.
 
 With 28 bands of 4 samples a pair shares no bucket with a probability of 4e-7
@@ -202,12 +203,11 @@ def _spanning(threshold: int):
 
 
 def _across(threshold: int):
-    """All links by estimate between different components of a block: probes (rows with probe set) against the others and
-    themselves."""
+    """All links by estimate between different components of two blocks: probes (rows with probe set) against the others."""
 
     def run(batches):
         a, b = [], []
-        for table in _grouped(batches, 2):
+        for table in _grouped(batches, 3):
             probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
             ids, comp, n, s, p = _members(table)
             home = np.flatnonzero(~probe)
@@ -309,12 +309,14 @@ def near_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     # second pass: buckets that still hold several components
     members = scratch.keep(labelled(placed.select("bucket", "id"), groups).select("bucket", "id", "component"), "members")
     counts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counts.groupBy("bucket").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("largest")).where("parts > 1")
-    rows = members.join(mixed, "bucket").select("bucket", "id", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("component") != F.col("largest")).alias("stray"))
-    home = rows.select("bucket", F.pmod(F.xxhash64("bucket", "id"), F.col("blocks")).cast("int").alias("block"), "id", "component", F.lit(False).alias("probe"))
-    strays = rows.where("stray").select("bucket", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "id", "component", F.lit(True).alias("probe"))
-    blocks = home.unionByName(strays).join(facts, "id").select("bucket", "block", "id", "component", "n", "s", "p", "probe")
-    blocks = blocks.repartition(partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "id")
+    mixed = counts.groupBy("bucket").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("strays")).where("parts > 1")
+    stray = (F.col("component") != F.col("largest")).alias("stray")
+    rows = members.join(mixed, "bucket").select("bucket", "id", "component", stray, F.ceil(F.col("m") / BLOCK).cast("int").alias("homes"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("probes"))
+    dealt = lambda salt, most: F.pmod(F.xxhash64("bucket", "id", F.lit(salt)), F.col(most)).cast("int")
+    home = rows.select("bucket", dealt("home", "homes").alias("block"), F.explode(F.expr("sequence(0, probes - 1)")).alias("other"), "id", "component", F.lit(False).alias("probe"))
+    strays = rows.where("stray").select("bucket", F.explode(F.expr("sequence(0, homes - 1)")).alias("block"), dealt("stray", "probes").alias("other"), "id", "component", F.lit(True).alias("probe"))
+    blocks = home.unionByName(strays).join(facts, "id").select("bucket", "block", "other", "id", "component", "n", "s", "p", "probe")
+    blocks = blocks.repartition(partitions(spark), "bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "id")
     pairs = arrow_map(blocks, _across(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.keep(_confirmed(scratch.keep(pairs, "pairs2"), sets, threshold), "links2")
     groups = scratch.keep(components(links.unionByName(more), scratch, "second_"), "groups2")
