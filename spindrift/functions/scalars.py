@@ -283,8 +283,3 @@ def difference_hash(grey: Column, width: int = 9, height: int = 8) -> Column:
         bit = -(1 << 63) if i == 63 else 1 << i
         out = out.bitwiseOR(F.when(F.element_at(grey, y * width + x + 1) > F.element_at(grey, y * width + x + 2), F.lit(bit)).otherwise(F.lit(0).cast("long")))
     return out
-
-
-def upper_median(c: Column) -> Column:
-    """An aggregate: the upper of the two middle values."""
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))

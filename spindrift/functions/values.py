@@ -78,3 +78,6 @@ LISTINGS = r"(?i)instagram\.com/(popular|explore|directory|topics)/|youtube\.com
 
 # An 11-character video id in an address.
 VIDEO_ID = r"(?:youtube\.com/(?:watch\?v=|shorts/|embed/)|youtu\.be/)([A-Za-z0-9_-]{11})"
+
+# Medals of the first places, and the word for a place.
+MEDALS, PLACE = ["🥇", "🥈", "🥉"], "위"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Scratch
+
 
 def daily_delta(snapshots: DataFrame, key: str, date: str, values: list[str]) -> DataFrame:
     """Each value's change since exactly the day before; null where that day is missing. (key, date) is unique."""
@@ -21,13 +25,47 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
 
 def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """Global ranks by a distributed sort: each range is numbered by itself and adds the rows of the ranges before it."""
+    out = running(df.withColumn("_one", F.lit(1).cast("long")), [], order, {"_one": "_before"})
+    return out.withColumn(rank, F.col("_before") + 1).drop("_one", "_before")
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Exclusive running totals (column -> name) in an order, within groups. Rows are dealt by ranges of groups and order, each
+    range is added up by itself, and a row adds what its group has in the ranges before, so a hot group meets no single task."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).checkpoint() if spark.sparkContext.getCheckpointDir() else df.withColumn("_range", F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return cut.join(F.broadcast(offsets), "_range").withColumn(rank, within + F.col("_before")).drop("_range", "_before")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c) for c in by]
+    cut = Scratch(spark).keep(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{o}") for c, o in sums.items()])
+    offsets = each.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_from_{o}") for o in sums.values()])
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{o}") for c, o in sums.items()])
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return cut.join(offsets, same).select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_from_{o}")).alias(o) for o in sums.values()])
+
+
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n, below (rows of the group with less), rows (all of the group's with a value): counts combine on the map
+    side, so groups cost their distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    below = running(counts, by, [F.col(value)], {"n": "below"})
+    return below.join(counts.groupBy(*by).agg(F.sum("n").alias("rows")), by)
+
+
+def percentile_ranks(df: DataFrame, by: list[str], value: str, name: str = "pct") -> DataFrame:
+    """Share of a group's values that are no larger, ties included."""
+    found = value_counts(df, by, value).select(*by, value, ((F.col("below") + F.col("n")) / F.col("rows")).alias(name))
+    return df.join(found, [*by, value])
+
+
+def upper_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, median (the upper of the two middle values) and n of each group with values."""
+    middle = F.floor(F.col("rows") / 2)
+    found = value_counts(df, by, value).where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n")))
+    return found.select(*by, F.col(value).alias("median"), F.col("rows").alias("n"))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -110,9 +148,56 @@ def domain_counts(df: DataFrame, c: Column, domain: list[str], default: str) ->
 
 
 def latest(df: DataFrame, date: str) -> DataFrame:
-    """Rows of the latest date: a scalar subquery, so the date prunes partitions."""
-    last = df.agg(F.max(date)).first()[0]
-    return df.where(F.col(date) == F.lit(last))
+    """Rows of the latest date: a scalar subquery, which Spark evaluates with the query, not while it is built."""
+    return df.where(F.col(date) == df.agg(F.max(date)).scalar())
+
+
+def any_row(df: DataFrame, condition: Column) -> Column:
+    """Whether some row meets a condition, as a scalar subquery."""
+    return df.agg(F.coalesce(F.bool_or(condition), F.lit(False))).scalar()
+
+
+def gated(requests: DataFrame, flags: DataFrame, feature: str, is_admin: str) -> DataFrame:
+    """Requests with whether they are allowed: features open to all, or administrators. A feature without a flag is closed."""
+    both = requests.join(flags.select(feature, F.col("is_public").alias("_open")), feature, "left")
+    return both.withColumn("allowed", F.coalesce(F.col(is_admin), F.lit(False)) | F.coalesce("_open", F.lit(False))).drop("_open")
+
+
+def known_or(df: DataFrame, known: DataFrame, key: str, value: str, otherwise: Column) -> DataFrame:
+    """A value that is known for a key (null included), else computed; checked tells which were computed."""
+    both = df.join(known.select(F.col(key).alias("_key"), F.col(value).alias("_known")), F.col(key) == F.col("_key"), "left")
+    missing = F.col("_key").isNull()
+    return both.select(*df.columns, F.when(missing, otherwise).otherwise(F.col("_known")).alias(value), missing.alias("checked"))
+
+
+def store_desc(column: str) -> Column:
+    """Descending as the store sorts it where no null order is given: nulls first."""
+    return F.col(column).desc_nulls_first()
+
+
+def any_of(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+
+def all_of(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+
+def first_of_each(df: DataFrame, by: list[str], order: str, value: str, n: int) -> DataFrame:
+    """by and texts: the first n values of each group in order. Rows are pruned before they are collected."""
+    top = top_n(df.where(F.col(value).isNotNull()), by, [F.col(order)], n, "_n")
+    return top.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_n", F.col(value).alias("v"))))["v"].alias("texts"))
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], subset: Column, name: str) -> DataFrame:
+    """Ranks among the rows of a subset; other rows have none."""
+    w = Window.partitionBy(*by, F.coalesce(subset, F.lit(False))).orderBy(*order)
+    return df.withColumn(name, F.when(subset, F.row_number().over(w)))
+
+
+def summary(df: DataFrame, by: list[str], key: str, checked: Column) -> DataFrame:
+    """Counts of a run: rows read, distinct keys, rows newly checked."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("read"), F.count_distinct(key).alias("distinct_keys"), F.count_if(F.coalesce(checked, F.lit(False))).alias("checked"))
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str, position: str) -> DataFrame:

@@ -170,15 +170,54 @@ def balanced(df: DataFrame, by: list[str], key: str, cost: str, parts: int) -> D
     return df.groupBy(*by).agg(F.aggregate(tasks, zero, step).alias("a")).select(*by, F.inline("a.out"))
 
 
-def support(df: DataFrame, by: list[str], frame: str, similar, reach: int = 6, least: int = 5) -> DataFrame:
-    """Rows similar to rows of at least so many of the frames within reach before and after. similar: (a, b) -> condition."""
-    other = df.select(*by, *[F.col(c).alias(f"_{c}") for c in df.columns if c not in by])
+def support(df: DataFrame, by: list[str], frame: str, similar=None, equal: list[str] = (), reach: int = 6, least: int = 5) -> DataFrame:
+    """Rows with like rows in at least so many of the frames within reach before and after (support).
+
+    Likeness by equal columns alone is a window over each group of equal rows'
+    frames; a condition similar(a, b) on top is an equi-join on group, equal
+    columns and frame, from each frame to those around it.
+    """
+    keys = [*by, *equal]
+    if similar is None:
+        frames = df.select(*keys, frame).distinct()
+        near = Window.partitionBy(*keys).orderBy(frame).rangeBetween(-reach, reach)
+        return df.join(frames.withColumn("support", F.count(F.lit(1)).over(near) - 1).where(F.col("support") >= least), [*keys, frame]).select(*df.columns, "support")
+    other = df.select(*keys, *[F.col(c).alias(f"_{c}") for c in df.columns if c not in keys])
     near = other.withColumn(frame, F.explode(F.sequence(F.col(f"_{frame}") - reach, F.col(f"_{frame}") + reach))).where(F.col(frame) != F.col(f"_{frame}"))
-    both = df.join(near, [*by, frame])
-    hit = both.where(similar(lambda c: F.col(c), lambda c: F.col(f"_{c}")))
+    hit = df.join(near, [*keys, frame]).where(similar(lambda c: F.col(c), lambda c: F.col(f"_{c}")))
     return hit.groupBy(*df.columns).agg(F.count_distinct(f"_{frame}").alias("support")).where(F.col("support") >= least)
 
 
+def glyphs_in_lines(glyphs: DataFrame, lines: DataFrame, by: list[str], frames: int = 90, near: float = 30, side: float = 30, low: float = 0.6, high: float = 1.45) -> DataFrame:
+    """Single glyphs (id, frame, x0, x1, yc, h) with the first line (line, frame, x0, x1, yc, hmed) that is seen within so many
+    frames, lies at their height, holds them between its sides and fits their size. The join is by buckets of frames: a line
+    stands in its own bucket and those beside it."""
+    width = 2 * frames
+    of = lambda c: F.floor(F.col(c) / width)
+    known = lines.select(*by, "line", F.explode(F.array_distinct(F.array(F.floor((F.col("frame") - frames) / width), F.floor((F.col("frame") + frames) / width)))).alias("_b"), *[F.col(c).alias(f"_{c}") for c in ("frame", "x0", "x1", "yc", "hmed")])
+    both = glyphs.withColumn("_b", of("frame")).join(known, [*by, "_b"])
+    inside = (F.col("_x0") - side <= F.col("x0")) & (F.col("x1") <= F.col("_x1") + side)
+    hit = both.where((F.abs(F.col("frame") - F.col("_frame")) <= frames) & (F.abs(F.col("_yc") - F.col("yc")) < near) & inside & F.col("h").between(low * F.col("_hmed"), high * F.col("_hmed")))
+    return hit.groupBy(*glyphs.columns).agg(F.min("line").alias("line"))
+
+
+def offset_clamped(df: DataFrame, offset: str, start: str, end: str, most: Column | int) -> DataFrame:
+    """Times within a chunk, held to its length (an end that is missing lies 3 s after its start), as times of the whole:
+    start_ms, end_ms. Rows without a start are left out."""
+    s = F.greatest(F.lit(0), F.least(F.col(start), F.lit(most)))
+    e = F.greatest(s, F.least(F.coalesce(F.col(end), F.col(start) + 3000), F.lit(most)))
+    return df.where(F.col(start).isNotNull()).withColumns({"start_ms": F.col(offset) + s, "end_ms": F.col(offset) + e})
+
+
+def tail_chunks(n: Column, length: int = 401, step: int = 389) -> Column:
+    """Array of (i, s, e inclusive) of chunks of a fixed length; what they leave over is covered by one aligned to the end."""
+    full = F.greatest(F.lit(1), F.floor((n - length) / step).cast("int") + 1)
+    starts = F.transform(F.sequence(F.lit(0), full - 1), lambda i: i * step)
+    rest = (full - 1) * step + length < n
+    starts = F.when(rest, F.concat(starts, F.array((n - length).cast("int")))).otherwise(starts)
+    return F.transform(starts, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.least(n - 1, s + length - 1).alias("e")))
+
+
 def sliding_or(df: DataFrame, by: list[str], order: str, bits: str, reach: int = 6) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)
     return df.withColumn(f"{bits}_or", F.bit_or(bits).over(w))
@@ -194,9 +233,9 @@ def xor_restore(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.withColumn("restored", F.bit_xor("delta").over(w))
 
 
-def shots(cuts: DataFrame, by: list[str], at: str, duration: str, least: float = 2.5, most: float = 12.0) -> DataFrame:
+def shots(cuts: DataFrame, by: list[str], at: str, duration: str, least: float = 2.5, most: float = 12.0, cap: int = 600) -> DataFrame:
     """Stretches between cut points: one shorter than least extends the stretch before it (the first is dropped), one
-    longer than most + 1 is split every most seconds."""
+    longer than most + 1 is split every most seconds; the first cap of them."""
     points = F.sort_array(F.collect_list(at))
     whole = cuts.groupBy(*by).agg(points.alias("p"), F.max(duration).alias("d"))
     bounds = F.concat(F.array(F.lit(0.0)), F.col("p"), F.array(F.col("d")))
@@ -207,7 +246,7 @@ def shots(cuts: DataFrame, by: list[str], at: str, duration: str, least: float =
                ELSE concat(acc, transform(sequence(0, cast(greatest(0, ceil((bounds[i + 1] - bounds[i] - {most + 1}D) / {most}D)) as int)), j ->
                  named_struct('s', bounds[i] + j * {most}D,
                               'e', CASE WHEN j = greatest(0, ceil((bounds[i + 1] - bounds[i] - {most + 1}D) / {most}D)) THEN bounds[i + 1] ELSE bounds[i] + (j + 1) * {most}D END))) END)"""))
-    return whole.select(*by, F.posexplode("out").alias("index", "o")).select(*by, "index", "o.s", "o.e")
+    return whole.select(*by, F.posexplode(F.slice("out", 1, cap)).alias("index", "o")).select(*by, "index", "o.s", "o.e")
 
 
 def in_zones(boxes: DataFrame, zones: DataFrame, by: list[str], least: float = 0.3, reach: int = 36, width: int = 72) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import half_up, local_date, upper_median
+from ..functions.scalars import half_up, local_date
+from .relational import first_of_each, upper_medians
 
 
 def admitted(log: DataFrame, by: list[str], ts: str, key: str, limit: Column) -> DataFrame:
@@ -86,12 +87,12 @@ def last_samples(samples: DataFrame, stage: str, order: str, n: int = 12) -> Dat
 
 def deadlines(samples: DataFrame, stage: str, per_frame: str, frames: Column, factor: float = 2.5, floor_ms: int = 180_000) -> DataFrame:
     """By stage: the upper median of seconds per frame, and the deadline in ms."""
-    out = samples.groupBy(stage).agg(upper_median(F.col(per_frame)).alias("median"), F.count(per_frame).alias("n"))
+    out = upper_medians(samples, [stage], per_frame)
     return out.withColumn("deadline_ms", F.greatest(F.lit(floor_ms), half_up(F.col("median") * frames * factor * 1000)).cast("long"))
 
 
 def outliers(samples: DataFrame, stage: str, value: str, factor: float = 3.0, least: int = 4) -> DataFrame:
-    stats = samples.groupBy(stage).agg(upper_median(F.col(value)).alias("median"), F.count(value).alias("n"))
+    stats = upper_medians(samples, [stage], value)
     return samples.join(stats, stage).where((F.col("n") >= least) & (F.col(value) > factor * F.col("median")))
 
 
@@ -126,3 +127,33 @@ def ready(segments: DataFrame, chunks: DataFrame, by: list[str], segment: str) -
 def workers(jobs: DataFrame, normal: int = 5, congested: int = 3, busy: int = 3) -> DataFrame:
     active = F.count_if(F.col("status").isin("queued", "running"))
     return jobs.agg(active.alias("active")).withColumn("workers", F.when(F.col("active") >= busy, congested).otherwise(normal))
+
+
+def stopwatch(samples: DataFrame, stage: str, seconds: Column) -> DataFrame:
+    """Seconds by stage to one digit, and runs."""
+    return samples.groupBy(stage).agg((half_up(F.sum(seconds).cast("double") * 10) / 10).alias("seconds"), F.count(F.lit(1)).alias("runs"))
+
+
+def next_job(done: Column, objective: Column, has_audio: Column, sentences: Column, least: int = 10) -> Column:
+    """The job that follows one that is done: after a probe by the project's objective, or a transcript where there is sound;
+    after a transcript of enough sentences an analysis; else none."""
+    after_probe = F.when(objective == "desilence", "desilence").when(objective == "wm_remove", "wmremove").when(has_audio, "transcribe")
+    return F.when(done == "probe", after_probe).when((done == "transcribe") & (sentences >= least), "analyze")
+
+
+def claimed(chunks: DataFrame, workers: DataFrame, by: list[str], chunk: str, worker: str) -> DataFrame:
+    """Each project's waiting chunks, the lowest first, to its idle workers: each chunk to one worker, each worker one chunk."""
+    place = lambda df, c: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(c)))
+    waiting = place(chunks.where("status = 'todo'").select(*by, chunk), chunk)
+    return place(workers, worker).join(waiting, [*by, "_n"]).select(*by, worker, chunk)
+
+
+def stage_json(samples: DataFrame, stage: str, order: str, seconds: str, n: int = 12) -> DataFrame:
+    """One JSON value with each stage's last n samples, the newest first, as it is kept among the settings."""
+    last = first_of_each(samples.withColumn("_order", -F.col(order)), [stage], "_order", seconds, n)
+    return last.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(stage, "texts")))).alias("value"))  # a row a stage
+
+
+def stage_samples(settings: DataFrame, value: str = "value") -> DataFrame:
+    """stage, at, seconds from that value; one that isn't valid has none."""
+    return settings.select(F.explode(F.from_json(value, "map<string, array<double>>")).alias("stage", "s")).select("stage", F.posexplode("s").alias("at", "seconds"))

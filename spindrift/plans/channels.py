@@ -73,8 +73,9 @@ SELECT c_custkey, count(o_orderkey) AS video_count, count(*) FILTER (WHERE CASE
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey, f GROUP BY c_custkey""")
 def rocket_metrics(spark, d):
     orders = table(spark, d, "orders")
-    any_daily = orders.agg(F.coalesce(F.bool_or(F.col("o_totalprice") > 450000), F.lit(False))).first()[0]
-    fast = F.col("o_totalprice") >= (V.ROCKET_DAILY if any_daily else V.ROCKET_TOTAL)
+    any_daily = R.any_row(orders, F.col("o_totalprice") > 450000)
+    fast = F.col("o_totalprice") >= F.col("least")
+    orders = orders.withColumn("least", F.when(any_daily, V.ROCKET_DAILY).otherwise(V.ROCKET_TOTAL))
     short, length = F.col("o_orderstatus") == "F", F.dayofmonth("o_orderdate")
     own = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("video_count"), F.count_if(fast).alias("rocket"), F.avg(F.when(short, length)).alias("short_avg"), F.avg(F.when(~short, length)).alias("long_avg"))
     both = table(spark, d, "customer").join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -158,9 +159,9 @@ def page_band(spark, d):
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY (CASE WHEN (SELECT max(c_acctbal) FROM customer) > 100000 THEN c_acctbal ELSE c_custkey END) DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 100""")
 def fallback_sort(spark, d):
     customers = table(spark, d, "customer")
-    has_daily = customers.agg(F.coalesce(F.bool_or(F.col("c_acctbal") > 100000), F.lit(False))).first()[0]
-    key = F.col("c_acctbal" if has_daily else "c_custkey")
-    return R.page(customers, [key.desc(), F.col("c_custkey")], 1, 100).select("c_custkey", F.col("rank").cast("long").alias("rank"))
+    has_daily = R.any_row(customers, F.col("c_acctbal") > 100000)
+    keyed = customers.withColumn("key", F.when(has_daily, F.col("c_acctbal")).otherwise(F.col("c_custkey")))
+    return R.page(keyed, [F.desc("key"), F.col("c_custkey")], 1, 100).select("c_custkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -254,10 +255,13 @@ def replace_by_key(spark, d):
     return R.replaced(o.select("o_custkey", "o_orderkey"), o.where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey"), "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey <= 1000 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey > 1000")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'new' END AS segment FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
 def insert_ignore(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
-    return R.insert_new(c.where("c_custkey <= 1000"), c, ["c_custkey"])
+    """A third of the customers is stored; the even ones come, each twice, with another value, which stored rows don't take."""
+    c = table(spark, d, "customer")
+    old = c.where("c_custkey % 3 = 0").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("segment"))
+    return R.insert_new(old, new.unionByName(new), ["c_custkey"])
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)brass') THEN 'metal' WHEN regexp_matches(p_type, '(?i)steel|tin') THEN 'iron' WHEN regexp_matches(p_name, 'a') THEN 'named' END AS category FROM part")

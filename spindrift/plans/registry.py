@@ -1,9 +1,9 @@
 """All queries of the library with their SQL."""
 
-from . import channels, extras, logs, media, sequences, texts
+from . import channels, extras, logs, media, rules, sequences, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (channels, extras, logs, media, sequences, texts):
+for _part in (channels, extras, logs, media, rules, sequences, texts):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
+from ..operators import relational as R
 from ..operators import sequences as Q
 from ..operators import similarity as M
 from ..sources.tables import table
@@ -36,7 +37,7 @@ SPAN_SQL = f"SELECT DISTINCT l_orderkey AS g, {DAY} AS s, {DAY} + l_quantity::IN
 
 @query("SELECT o_orderkey, cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS pct FROM orders")
 def percentile_rank(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.cume_dist().over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice")).alias("pct"))
+    return R.percentile_ranks(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], "o_totalprice").select("o_orderkey", "pct")
 
 
 @query("""
@@ -50,7 +51,13 @@ def highlight_score(spark, d):
     return table(spark, d, "orders").select("o_orderkey", score.alias("score"))
 
 
-@query()
+@query("""
+WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey AS g, l_extendedprice::DOUBLE AS score, l_quantity::DOUBLE AS d, '{' || l_partkey || ', ' || l_suppkey || '}' AS key FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, key, d) AS n FROM i),
+f AS (SELECT DISTINCT g, 0::BIGINT AS n, 0::DOUBLE AS total, 0 AS picks, false AS done, NULL::VARCHAR AS key FROM i
+  UNION ALL SELECT g, n, CASE WHEN take THEN total + d ELSE total END, CASE WHEN take THEN picks + 1 ELSE picks END, done OR (take AND (total + d >= 50 OR picks + 1 >= 8)), CASE WHEN take THEN k END
+  FROM (SELECT r.g, r.n, f.total, f.picks, f.done, r.d, r.key AS k, NOT f.done AND f.total + r.d <= 65 AS take FROM f JOIN r ON r.g = f.g AND r.n = f.n + 1))
+SELECT g AS l_orderkey, key FROM f WHERE key IS NOT NULL AND g IN (SELECT g FROM f GROUP BY g HAVING max(picks) >= 3 AND max(total) >= 25)""")
 def highlight_pick(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("length"), F.struct("l_partkey", "l_suppkey").cast("string").alias("key")).distinct()
     return Q.greedy_budget(items, ["l_orderkey"], "score", "length", "key")
@@ -101,10 +108,10 @@ def interval_overlap(spark, d):
     return out.select("g", *[F.col(c).cast("bigint").alias(c) for c in ("s", "e", "s2", "e2")])
 
 
-@query(f"WITH x AS (SELECT DISTINCT l_suppkey AS g, {DAY} AS f, l_linenumber AS k FROM lineitem) SELECT a.g, a.f, a.k, count(DISTINCT b.f) AS support FROM x a JOIN x b ON a.g = b.g AND a.f <> b.f AND b.f BETWEEN a.f - 6 AND a.f + 6 AND a.k = b.k GROUP BY a.g, a.f, a.k HAVING count(DISTINCT b.f) >= 5")
+@query(f"WITH x AS (SELECT DISTINCT l_suppkey AS g, {DAY} AS f, l_linenumber AS k FROM lineitem) SELECT a.g, a.f, a.k, count(DISTINCT b.f) AS support FROM x a JOIN x b ON a.g = b.g AND a.f <> b.f AND b.f BETWEEN a.f - 60 AND a.f + 60 AND a.k = b.k GROUP BY a.g, a.f, a.k HAVING count(DISTINCT b.f) >= 5")
 def support_count(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).alias("f"), F.col("l_linenumber").alias("k")).distinct()
-    return Q.support(x, ["g"], "f", lambda a, b: a("k") == b("k")).select("g", F.col("f").cast("bigint").alias("f"), "k", "support")
+    return Q.support(x, ["g"], "f", equal=["k"], reach=60).select("g", F.col("f").cast("bigint").alias("f"), "k", "support")
 
 
 @query("SELECT event_id, bit_or(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS bits_or FROM events")
@@ -113,10 +120,10 @@ def sliding_or(spark, d):
     return Q.sliding_or(e, ["user_id"], "event_id", "bits").select("event_id", "bits_or")
 
 
-@query("SELECT event_id, floor(value)::BIGINT AS restored FROM events")
+@query("SELECT event_id, floor(value)::BIGINT AS restored, xor(floor(value)::BIGINT, coalesce(lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id), 0)) AS delta FROM events")
 def delta_round_trip(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.floor("value").cast("bigint").alias("bits"))
-    return Q.xor_restore(Q.xor_delta(e, ["user_id"], "event_id", "bits").drop("bits"), ["user_id"], "event_id").select("event_id", "restored")
+    return Q.xor_restore(Q.xor_delta(e, ["user_id"], "event_id", "bits").drop("bits"), ["user_id"], "event_id").select("event_id", "restored", "delta")
 
 
 @query(f"""
@@ -129,33 +136,64 @@ def ownership_ranges(spark, d):
     return out.select("g", *[F.col(c).cast("bigint").alias(c) for c in ("s", "e", "own_s", "own_e")])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE x AS (SELECT DISTINCT l_suppkey AS g, {DAY} AS f FROM lineitem), n AS (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY g ORDER BY f) <= 24 THEN 0 ELSE 1 END AS new FROM x),
+i AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY f ROWS UNBOUNDED PRECEDING) AS k FROM n), r AS (SELECT g, k, greatest(0, min(f) - 4) AS a, least(3999, max(f) + 4) AS b FROM i GROUP BY g, k),
+c AS (SELECT g, k, a AS pos, b FROM r UNION ALL SELECT g, k, pos + 69, b FROM c WHERE pos + 80 < b - 3),
+e AS (SELECT g, least(b, pos + 80) AS e, CASE WHEN least(b, pos + 80) - pos + 1 < 9 THEN greatest(0, least(b, pos + 80) - 8) ELSE pos END AS s FROM c)
+SELECT g, s::BIGINT AS s, least(3999, s + (e - s) // 4 * 4)::BIGINT AS e FROM e""")
 def gap_chunks(spark, d):
     frames = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).alias("f")).distinct()
     return Q.frame_chunks(frames, ["g"], "f", 4000)
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value % 1.0::DOUBLE AS p, count(*) OVER (PARTITION BY user_id) * 512 AS total FROM events),
+f AS (SELECT DISTINCT u, -1::BIGINT AS i, -1::BIGINT AS began, -1::BIGINT AS quiet, NULL::BIGINT AS s, NULL::BIGINT AS e, total FROM p
+  UNION ALL SELECT p.u, p.i, CASE WHEN p.p >= 0.5 AND began < 0 THEN p.i * 512 WHEN p.p < 0.35 AND began >= 0 AND quiet >= 0 AND p.i * 512 - quiet >= 1600 THEN -1 ELSE began END,
+    CASE WHEN p.p >= 0.5 THEN -1 WHEN p.p < 0.35 AND began >= 0 AND quiet < 0 THEN p.i * 512 WHEN p.p < 0.35 AND began >= 0 AND p.i * 512 - quiet >= 1600 THEN -1 ELSE quiet END,
+    CASE WHEN p.p < 0.35 AND began >= 0 AND quiet >= 0 AND p.i * 512 - quiet >= 1600 THEN began END, CASE WHEN p.p < 0.35 AND began >= 0 AND quiet >= 0 AND p.i * 512 - quiet >= 1600 THEN quiet END, p.total
+  FROM f JOIN p ON p.u = f.u AND p.i = f.i + 1),
+g AS (SELECT u, s, e, total FROM f WHERE s IS NOT NULL UNION ALL SELECT u, began, total, total FROM f WHERE began >= 0 AND (i + 1) * 512 = total),
+d AS (SELECT u, greatest(0, s - 320) AS s, least(total, e + 320) AS e FROM g WHERE e - s >= 1024),
+n AS (SELECT *, CASE WHEN s - max(e) OVER w <= 0 THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY u ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT u AS user_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM k GROUP BY u, k""")
 def hysteresis_segments(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("i", F.row_number().over(w) - 1).withColumn("p", F.pmod(F.col("value"), F.lit(1.0))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("user_id")) * 512)
     return Q.hysteresis(e, ["user_id"], "i", "p", 0.5, 0.35, 512, 1600, 1024, 320, "total")
 
 
-@query("""
-WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2])))::INT AS distance FROM b a JOIN b b ON a.vec_id < b.vec_id WHERE distance <= 8""")
+def prints(spark, d):
+    """Signs of a vector's first 24 numbers as a fingerprint."""
+    first = F.concat(F.slice("embedding", 1, 24), F.array_repeat(F.lit(-1.0), 40))
+    return table(spark, d, "embeddings").select("label", "vec_id", X.sign_bits(first).alias("h"))
+
+
+PRINT_SQL = "SELECT label, vec_id, list_sum(list_transform(embedding[1:24], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1)::BIGINT ELSE 0 END))::BIGINT AS h FROM embeddings"
+
+
+@query(f"WITH b AS ({PRINT_SQL}) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM b a JOIN b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 4")
 def hamming_pairs(spark, d):
-    return M.hamming_pairs(table(spark, d, "embeddings").select("vec_id", X.sign_bits(F.col("embedding")).alias("h")), "vec_id", "h")
+    return M.hamming_pairs(prints(spark, d), "vec_id", "h", 4, 24)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM ({PRINT_SQL})),
+f AS (SELECT DISTINCT label, 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS vec_id FROM b
+  UNION ALL SELECT label, n, CASE WHEN near THEN kept ELSE list_append(kept, h) END, CASE WHEN NOT near THEN v END
+  FROM (SELECT b.label, b.n, kept, b.h, b.vec_id AS v, len(list_filter(kept, lambda k: bit_count(xor(k, b.h)) <= 6)) > 0 AS near FROM f JOIN b ON b.label = f.label AND b.n = f.n + 1))
+SELECT label, vec_id FROM f WHERE vec_id IS NOT NULL""")
 def near_dup_keep_first(spark, d):
-    bits = table(spark, d, "embeddings").select("label", "vec_id", X.sign_bits(F.col("embedding")).alias("h"))
-    return M.keep_first(bits, ["label"], "vec_id", "h", 20).select("label", "vec_id")
+    return M.keep_first(prints(spark, d), ["label"], "vec_id", "h", 6, 24).select("label", "vec_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT o_custkey AS g, o_orderkey, o_totalprice::DOUBLE AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders),
+f AS (SELECT DISTINCT g, 0::BIGINT AS n, [0, 0, 0]::DOUBLE[] AS loads, NULL::BIGINT AS o_orderkey, 0 AS part, 0::DOUBLE AS before FROM t
+  UNION ALL SELECT t.g, t.n, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + t.c ELSE v END), t.o_orderkey, list_position(loads, list_min(loads))::INT - 1, list_min(loads) FROM f JOIN t ON t.g = f.g AND t.n = f.n + 1)
+SELECT g AS o_custkey, o_orderkey, part, before FROM f WHERE n > 0""")
 def lpt_buckets(spark, d):
     tasks = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return Q.balanced(tasks, ["o_custkey"], "o_orderkey", "o_totalprice", 3)
@@ -172,7 +210,13 @@ def even_parts(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part")).select("p_partkey", "part", lo.alias("lo"), hi.alias("hi"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT DISTINCT l_orderkey AS g, {DAY} / 100 AS pos FROM lineitem), b AS (SELECT g, pos FROM c UNION ALL SELECT DISTINCT g, 0.0::DOUBLE FROM c UNION ALL SELECT DISTINCT g, 60.0::DOUBLE FROM c),
+o AS (SELECT g, pos, row_number() OVER (PARTITION BY g ORDER BY pos) AS n FROM b), t AS (SELECT a.g, a.n, a.pos AS s, z.pos AS e, z.pos - a.pos >= 2.5::DOUBLE AS long FROM o a JOIN o z ON z.g = a.g AND z.n = a.n + 1),
+k AS (SELECT *, count(*) FILTER (WHERE long) OVER (PARTITION BY g ORDER BY n ROWS UNBOUNDED PRECEDING) AS k FROM t),
+m AS (SELECT g, k, min(CASE WHEN long THEN s END) AS s, min(CASE WHEN long THEN e END) AS e, max(e) AS last FROM k WHERE k > 0 GROUP BY g, k),
+p AS (SELECT *, greatest(0, ceil((e - s - 13::DOUBLE) / 12::DOUBLE))::INT AS more FROM m), q AS (SELECT *, unnest(range(0, more + 1)) AS j FROM p)
+SELECT g, (row_number() OVER (PARTITION BY g ORDER BY s, j) - 1)::INT AS index, s + j * 12::DOUBLE AS s, CASE WHEN j < more THEN s + (j + 1) * 12::DOUBLE ELSE last END AS e FROM q""")
 def shot_stretches(spark, d):
     cuts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")) / 100).alias("at")).distinct().withColumn("d", F.lit(60.0))
     return Q.shots(cuts, ["g"], "at", "d")
@@ -191,7 +235,13 @@ def lag_three(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey", 3).over(w), F.lit(-1)).alias("follows"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT p_size AS g, (p_retailprice % 720)::DOUBLE AS cy, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice % 720, p_partkey) AS n FROM part),
+f AS (SELECT DISTINCT g, 0::BIGINT AS n, []::DOUBLE[] AS sums, []::DOUBLE[] AS counts, 0 AS line, NULL::DOUBLE AS cy, NULL::BIGINT AS p_partkey FROM b
+  UNION ALL SELECT g, n, CASE WHEN pos = 0 THEN list_append(sums, y) ELSE list_transform(sums, lambda v, i: CASE WHEN i = pos THEN v + y ELSE v END) END,
+    CASE WHEN pos = 0 THEN list_append(counts, 1) ELSE list_transform(counts, lambda v, i: CASE WHEN i = pos THEN v + 1 ELSE v END) END, CASE WHEN pos = 0 THEN len(sums) ELSE pos - 1 END::INT, y, k
+  FROM (SELECT b.g, b.n, sums, counts, b.cy AS y, b.p_partkey AS k, coalesce(list_position(list_transform(sums, lambda v, i: abs(v / counts[i] - b.cy) < 25), true), 0) AS pos FROM f JOIN b ON b.g = f.g AND b.n = f.n + 1))
+SELECT g, cy, p_partkey, line FROM f WHERE n > 0""")
 def grouped_lines(spark, d):
     boxes = table(spark, d, "part").select(F.col("p_size").alias("g"), (F.col("p_retailprice") % 720).alias("cy"), "p_partkey")
     return M.grouped_lines(boxes, "g", "cy")

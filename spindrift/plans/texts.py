@@ -28,15 +28,39 @@ def url_host_label(spark, d):
     return table(spark, d, "pages").select("page_id", X.host(u).alias("host"), F.nullif(F.try_parse_url(u, F.lit("PATH")), F.lit("")).alias("path"))
 
 
-@query("SELECT page_id, CASE WHEN contains(url, 'blog') THEN 'blog' WHEN contains(url, 'm.') THEN 'mobile' ELSE 'other' END AS label FROM pages")
+# address, its platform, whether it is a list, whether it is a video site: by reading the rules
+SITES = [
+    ("https://www.youtube.com/results?q=1", "유튜브", True, True), ("https://www.youtube.com/watch?v=abcdefghijk", "유튜브", False, True), ("https://youtu.be/abcdefghijk", "유튜브", False, True),
+    ("https://www.tiktok.com/@a/video/123", "tiktok.com", False, True), ("https://www.tiktok.com/discover/cats", "tiktok.com", True, True), ("https://vm.tiktok.com/ZM1", "vm.tiktok.com", False, True),
+    ("https://www.bilibili.com/video/BV1", "비리비리", False, True), ("https://weibo.com/1/2", "웨이보", False, True), ("https://www.instagram.com/explore/x", "instagram.com", True, True),
+    ("https://www.reddit.com/r/cats/", "reddit.com", True, True), ("https://news.example.org/a", "news.example.org", False, False), ("https://v.qq.com/x", "텐센트 영상", False, True),
+]
+SITE_SQL = "(VALUES " + ", ".join(f"({i}, '{u}', '{p}', {a}, {v})" for i, (u, p, a, v) in enumerate(SITES)) + ") s(i, url, platform, listed, video)"
+
+
+def site(number):
+    return F.element_at(F.array(*[F.lit(s[0]) for s in SITES]), (number % len(SITES) + 1).cast("int"))
+
+
+@query(f"SELECT page_id, s.platform AS label FROM pages JOIN {SITE_SQL} ON s.i = page_id % {len(SITES)}")
 def platform_label(spark, d):
-    hit = lambda m: F.contains("url", F.lit(m))
-    return table(spark, d, "pages").select("page_id", F.when(hit("blog"), "blog").when(hit("m."), "mobile").otherwise("other").alias("label"))
+    return table(spark, d, "pages").select("page_id", X.platform(F.lit(""), site(F.col("page_id"))).alias("label"))
 
 
-@query("SELECT page_id, regexp_matches(url, '(?i)example\\.org/|\\?') AS listing FROM pages")
+@query(f"SELECT page_id, s.listed AS listing FROM pages JOIN {SITE_SQL} ON s.i = page_id % {len(SITES)}")
 def listing_class(spark, d):
-    return table(spark, d, "pages").select("page_id", F.col("url").rlike(r"(?i)example\.org/|\?").alias("listing"))
+    return table(spark, d, "pages").select("page_id", X.is_listing(site(F.col("page_id"))).alias("listing"))
+
+
+GENRES = ["LOL 하이라이트", "축구 중계", "한국 영화", "먹방", "아이돌 무대", "고양이", "반려견 훈련", "역사 이야기", "정치 토론", "썰 모음", "해외 반응", "예능 클립", "공감 밈", "없음"]
+GENRE_CLASS = ["게임", "스포츠", "영화·드라마 요약", "푸드", "연예 이슈", None, "동물·펫", "지식·역사·교양", "정치·시사", "썰·사연·애니툰", "국뽕·해외반응", "방송·예능", "유머·밈·바이럴", None]
+GENRE_SQL = "(VALUES " + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, c in enumerate(GENRE_CLASS)) + ") g(i, category)"
+
+
+@query(f"SELECT page_id, g.category FROM pages JOIN {GENRE_SQL} ON g.i = page_id % {len(GENRES)}")
+def genre_class(spark, d):
+    genre = F.element_at(F.array(*map(F.lit, GENRES)), (F.col("page_id") % len(GENRES) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", X.category(genre).alias("category"))
 
 
 @query("SELECT doc_id, substr(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 1, 300) AS tidy, length(regexp_replace(text, '[^0-9A-Za-z가-힣]', '', 'g')) AS letters FROM documents")
@@ -44,9 +68,13 @@ def text_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", X.tidy(F.col("text"), 300).alias("tidy"), F.length(X.letters_only(F.col("text"))).cast("bigint").alias("letters"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS t FROM part),
+f AS (SELECT p_partkey, list_reduce(list_transform(string_split_regex(trim(t), '\\s+'), lambda w: {'done': []::VARCHAR[], 'line': w}), lambda a, x: CASE WHEN length(a.line || ' ' || x.line) > 12
+  THEN {'done': list_append(a.done, a.line), 'line': x.line} ELSE {'done': a.done, 'line': a.line || ' ' || x.line} END) AS s FROM p)
+SELECT p_partkey, array_to_string(list_append(s.done, s.line)[1:3], chr(10)) AS lines FROM f""")
 def word_wrap(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.wrapped(F.concat_ws(" ", "p_name", "p_type")).alias("lines"))
+    return table(spark, d, "part").select("p_partkey", X.wrapped(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("lines"))
 
 
 @query("SELECT p_partkey, 'PT' || (p_size // 7) || 'H' || p_size || 'M' || (p_partkey % 60) || 'S' AS iso, ((p_size // 7) * 3600 + p_size * 60 + p_partkey % 60)::INT AS seconds FROM part")
@@ -71,13 +99,14 @@ def name_labels(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.escape_html(n).alias("safe"), X.handle(n).alias("handle"), X.nickname(F.lit(""), F.concat(n, F.lit("@x"))).alias("nick"))
 
 
-@query("SELECT doc_id, contains(text, '!') OR contains(text, 'the') AS hot, count(*) OVER (PARTITION BY contains(text, '!')) AS alike FROM documents")
-def hot_words(spark, d):
-    from pyspark.sql.window import Window
+EXCITING = ["드디어 나왔다", "평범한 하루", "충격 반전", "위기의 순간", "조용한 산책", "세계 최초 공개", "믿을 수 없는 일", "Wow!", "기록"]
+HOT = [True, False, True, True, False, True, True, True, False]
 
-    t = table(spark, d, "documents")
-    n = t.groupBy(F.contains("text", F.lit("!")).alias("k")).agg(F.count(F.lit(1)).alias("alike"))
-    return t.withColumn("k", F.contains("text", F.lit("!"))).join(F.broadcast(n), "k").select("doc_id", X.any_of(F.col("text"), ["!", "the"]).alias("hot"), "alike")
+
+@query(f"SELECT doc_id, ([{', '.join(str(h).lower() for h in HOT)}])[doc_id % {len(HOT)} + 1] AS hot FROM documents")
+def hot_words(spark, d):
+    line = F.element_at(F.array(*map(F.lit, EXCITING)), (F.col("doc_id") % len(EXCITING) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", X.any_of(line, V.HOT_WORDS).alias("hot"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars < 1000) AS short FROM documents GROUP BY lang")

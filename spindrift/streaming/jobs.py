@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import Scratch
+
 
 def timed(events: DataFrame, ts: str, late: str) -> DataFrame:
     """Watermarks take timestamps with a zone only."""
@@ -72,8 +73,14 @@ def stall_alarms(beats: DataFrame, key: str, at: str, gap_ms: int = 60_000, late
 
 
 def run_available(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result as a table in memory; for reports and tests."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what is there and gives its result as a stored table: each batch's rows replace (complete) or join
+    (append) those in the shared folder."""
+    scratch = Scratch(spark)
+    path = scratch.path("stream")
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch.path("progress")).foreachBatch(store).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path) if q.lastProgress else spark.createDataFrame([], stream.schema)
