@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import imaging as G
 from ..functions import rules as L
 from ..functions import scalars as X
 from ..functions import values as V
 from ..operators import relational as R
 from ..operators import sequences as Q
+from ..operators import similarity as M
 from ..operators import state as S
 from ..sources import feeds
-from ..sources.tables import table
+from ..sources.scratch import Scratch
+from ..sources.tables import artifact, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -313,3 +318,68 @@ def frame_regions(spark, d):
     frames = feeds.frames(clips, "clip", "raw", 8, 4, every=2)
     out = feeds.regions(frames, 8, {0: (0, 0, 4, 2), 1: (2, 1, 3, 3)})
     return out.select("clip", "frame", "region", F.conv(F.hex(F.substring("pixels", 1, 1)), 16, 10).cast("int").alias("first"), F.length("pixels").alias("bytes"))
+
+
+@query("""SELECT p_partkey, '{"id":' || p_partkey || ',"parts":[{"s":0,"e":' || p_size || '},{"s":' || p_size || ',"e":' || p_size * 2 || '}],"name":"' || p_name || '"}' AS plan FROM part""")
+def plan_artifact(spark, d):
+    """Plans written as JSON to the shared folder and read back as text."""
+    size = F.col("p_size")
+    cut = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    plans = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(cut(F.lit(0), size), cut(size, size * 2)).alias("parts"), F.col("p_name").alias("name"))
+    path = Scratch(spark).path("plans")
+    artifact(plans, path)
+    text = spark.read.text(path)
+    return text.select(F.get_json_object("value", "$.id").cast("long").alias("p_partkey"), F.col("value").alias("plan"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT p_partkey // 8 AS frame, p_partkey AS id, p_partkey % 4 * 70 AS x0, p_partkey // 4 % 2 * 70 AS y0, p_partkey % 4 * 70 + 40 + p_size % 21 AS x1, p_partkey // 4 % 2 * 70 + 50 AS y1,
+  400 + p_size * 20 AS area, (p_partkey * 7 % 3 * 40)::DOUBLE AS hue, (p_size % 10) / 10.0::DOUBLE AS white FROM part),
+l AS (SELECT a.frame, a.id AS a, b.id AS b FROM p a JOIN p b ON a.frame = b.frame AND a.id <> b.id
+  WHERE sqrt(((a.x0 + a.x1) / 2.0 - (b.x0 + b.x1) / 2.0) ** 2 + ((a.y0 + a.y1) / 2.0 - (b.y0 + b.y1) / 2.0) ** 2) < 2.5 * greatest(a.x1 - a.x0 + 1, 51, b.x1 - b.x0 + 1) AND least(abs(a.hue - b.hue), 180 - abs(a.hue - b.hue)) < 16),
+c AS (SELECT frame, id, id AS to_id FROM p UNION SELECT c.frame, c.id, l.b FROM c JOIN l ON l.frame = c.frame AND l.a = c.to_id), k AS (SELECT frame, id, min(to_id) AS g FROM c GROUP BY frame, id),
+m AS (SELECT p.frame, g, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(area) AS pixels, sum(hue * area) / sum(area) AS hue, sum(white * area) / sum(area) AS white, max(area) AS largest FROM p JOIN k ON k.id = p.id GROUP BY p.frame, g),
+w AS (SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h FROM m)
+SELECT frame, g AS "group", x0, y0, x1, y1, hue FROM w WHERE w * h BETWEEN 5000 AND 260000 AND least(w, h) >= 44 AND greatest(w, h) <= 520 AND pixels / (w * h)::DOUBLE BETWEEN 0.08 AND 0.5 AND white >= 0.25 AND pixels >= 2500
+QUALIFY row_number() OVER (PARTITION BY frame ORDER BY largest DESC, g) <= 4""")
+def decorative_labels(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x0, y0 = (k % 4 * 70).alias("x0"), (F.floor(k / 4) % 2 * 70).alias("y0")
+    pieces = table(spark, d, "part").select(F.floor(k / 8).alias("frame"), k.alias("id"), x0, y0, (k % 4 * 70 + 40 + size % 21).alias("x1"), (F.floor(k / 4) % 2 * 70 + 50).alias("y1"), (size * 20 + 400).alias("area"), (k * 7 % 3 * 40).cast("double").alias("hue"), (size % 10 / 10).cast("double").alias("white"))
+    return M.decorative_labels(pieces, "frame")
+
+
+@query("""
+WITH g AS (SELECT p_partkey // 6 AS line, p_partkey % 50 * 12 AS x0, p_partkey % 50 * 12 + 8 + p_size AS x1, p_partkey % 9 AS y0, p_partkey % 9 + p_size AS y1, p_size * 5 AS area, p_partkey % 3 > 0 AS strict, p_size + 1 AS h FROM part),
+a AS (SELECT line, coalesce(min(x0) FILTER (WHERE h >= 16), min(x0)) AS lo, coalesce(max(x1) FILTER (WHERE h >= 16), max(x1)) AS hi, count(*) FILTER (WHERE h >= 16) AS n, list_sort(list(h) FILTER (WHERE h >= 16)) AS hs,
+  min(y0) FILTER (WHERE h >= 12) AS wy0, max(y1) FILTER (WHERE h >= 12) AS wy1, count(*) FILTER (WHERE h >= 12) AS wn,
+  min(x0) FILTER (WHERE strict AND h BETWEEN 16 AND 85 AND area >= 90) AS sx0, max(x1) FILTER (WHERE strict AND h BETWEEN 16 AND 85 AND area >= 90) AS sx1, min(y0) FILTER (WHERE strict AND h BETWEEN 16 AND 85 AND area >= 90) AS sy0,
+  max(y1) FILTER (WHERE strict AND h BETWEEN 16 AND 85 AND area >= 90) AS sy1, count(*) FILTER (WHERE strict AND h BETWEEN 16 AND 85 AND area >= 90) AS sn FROM g GROUP BY line),
+b AS (SELECT *, n >= 2 AND hi - lo >= 90 AND hs[n // 2 + 1] BETWEEN 16 AND 80 AND NOT (hi - lo < 0.45 * 720 AND (lo < 0.07 * 720 OR hi > 0.93 * 720)) AS ok FROM a)
+SELECT line, CASE WHEN ok THEN 'line' ELSE 'single' END AS kind, CASE WHEN ok THEN lo ELSE sx0 END AS x0, CASE WHEN ok THEN hi ELSE sx1 END AS x1, CASE WHEN ok THEN wy0 ELSE sy0 END AS y0, CASE WHEN ok THEN wy1 ELSE sy1 END AS y1,
+  (CASE WHEN ok THEN wn ELSE sn END)::INT AS glyphs FROM b WHERE ok OR (sn > 0 AND hi - lo <= 170)""")
+def core_lines(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    glyphs = table(spark, d, "part").select(F.floor(k / 6).alias("line"), (k % 50 * 12).alias("x0"), (k % 50 * 12 + 8 + size).alias("x1"), (k % 9).alias("y0"), (k % 9 + size).alias("y1"), (size * 5).alias("area"), (k % 3 > 0).alias("strict"))
+    return M.core_lines(glyphs, [], "line", 720)
+
+
+@query("""
+WITH z AS (SELECT p_partkey, p_size % 20 AS x, 10 + p_size % 17 AS w FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND n >= 400 THEN n ELSE 0 END AS pixels FROM (SELECT p_partkey, greatest(0, least(x + w, 32) - greatest(x, 2)) * 40 AS n FROM z)""")
+def zone_pixels(spark, d):
+    """Frames of 48 x 40 pixels with a coloured stripe, blue in every third; the zone asks for blue from column 10 to 23."""
+
+    @F.pandas_udf("binary")
+    def drawn(key: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for k, s in zip(key, size):
+            frame = np.full((40, 48, 3), 90, np.uint8)
+            frame[:, s % 20 : s % 20 + 10 + s % 17] = (20, 60, 220) if k % 3 == 0 else (220, 60, 20)
+            out.append(frame.tobytes())
+        return pd.Series(out)
+
+    box = F.array(*[F.lit(float(v)) for v in (10, 0, 23, 39)])
+    mask = G.zone_fill_udf(drawn("p_partkey", "p_size"), F.lit(40), F.lit(48), box, F.lit(114))
+    lit = F.length(F.regexp_replace(F.hex(mask), "00", "")) / 2
+    return table(spark, d, "part").select("p_partkey", F.coalesce(lit, F.lit(0)).cast("long").alias("pixels"))

@@ -41,6 +41,11 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def artifact(df: DataFrame, path: str) -> None:
+    """Rows as JSON objects, a line each, instead of what was there (a plan that other programs read)."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
 def media(spark: SparkSession, path: str) -> DataFrame:
     """Files as path, modificationTime, length and base64 content; unreadable files are left out."""
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(path)
