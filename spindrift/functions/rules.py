@@ -43,6 +43,11 @@ def not_itself(address: Column, own: Column) -> Column:
     return ~F.coalesce(F.contains(address, own) & (own != ""), F.lit(False))
 
 
+def truth(value: Column) -> Column:
+    """A flag that comes as a text: true for these words only, never null."""
+    return F.coalesce(F.lower(F.trim(value)).isin("true", "y", "yes", "1"), F.lit(False))
+
+
 def has_failed(status: Column, mark: str = "failed") -> Column:
     return F.startswith(status, F.lit(mark))
 
