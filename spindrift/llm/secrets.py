@@ -3,30 +3,33 @@
 The base finds assignments, access keys and hex runs. The method adds spans of
 kind "random": a vocabulary trained on text needs many tokens for random
 strings, so a run of key-like characters that averages few characters a token
-is suspect. Known digests (bare hex), UUIDs, and numbers and dates are excluded
-first, as are runs inside base spans. Paths and names in capitals are left out
-where the vocabulary covers their words, in lower case, with long tokens.
+is suspect. What base spans cover of a run is cut out and each rest is tested by
+itself. Known digests (bare hex), UUIDs, and numbers and dates are excluded
+first. Paths and names are left out where the vocabulary covers their words, in
+lower case, with long tokens.
 
 Nulls: a null text is empty and has no spans; a null identifier is carried
-along. Each row is scanned by itself, so repeated rows repeat their result and
-an empty table gives an empty one. Offsets count code points.
+along. Each row is scanned by itself, whatever its length (the patterns take
+time in proportion to it), so repeated rows repeat their result and an empty
+table gives an empty one. Columns besides the two named ones are not read.
+Offsets count code points.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
+import bisect
 import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map
+from .common import arrow_map, remembered
 
 KINDS = ("assign", "access", "hex", "random")
 #: Shortest run that is tested, and the characters a token below which it is random.
-MIN_RUN, MAX_RATIO = 20, 2.2
+MIN_RUN, MAX_RATIO = 16, 2.2
 #: Letters a token from which words of a run, each by itself in lower case, are known ones.
 WORD_RATIO = 3
 
@@ -44,14 +47,16 @@ NUMBER = re.compile(r"[0-9+/_=-]+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@functools.cache
 def vocabulary(path: str | None):
-    import public_tokenizers
-    import tiktoken
+    def load():
+        import public_tokenizers
+        import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return remembered(("secrets vocabulary", path), load)
 
 
 def excluded(run: str) -> bool:
@@ -65,17 +70,47 @@ def worded(run: str, encoding) -> bool:
     return sum(map(len, parts)) >= WORD_RATIO * sum(len(encoding.encode_ordinary(" " + p.lower())) for p in parts)
 
 
+def covered(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans as stretches apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(start: int, end: int, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What covered stretches leave of another."""
+    out = []
+    for i in range(bisect.bisect_right(stretches, start, key=lambda s: s[1]), len(stretches)):
+        a, b = stretches[i]
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = b
+    if start < end:
+        out.append((start, end))
+    return out
+
+
+def random_run(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether a run has fewer characters a token than text has, and isn't of a known form or made of words."""
+    return len(run) >= MIN_RUN and not excluded(run) and len(run) < max_ratio * len(encoding.encode_ordinary(run)) and not worded(run, encoding)
+
+
 def scan(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """Spans (start, place of kind in KINDS, end), sorted."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(spans)
+    base = covered(sorted(spans))
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base) or excluded(m[0]):
-            continue
-        if len(m[0]) < max_ratio * len(encoding.encode_ordinary(m[0])) and not worded(m[0], encoding):
-            spans.append((m.start(), 3, m.end()))
+        for a, b in outside(m.start(), m.end(), base):
+            if random_run(text[a:b], encoding, max_ratio):
+                spans.append((a, 3, b))
     return sorted(spans)
 
 
