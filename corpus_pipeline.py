@@ -2,6 +2,10 @@
 
 Each stage gets the documents that its predecessor kept, as a stored table,
 and all but the last return documents with all their columns.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and columns
+with clashing names are treated as the stages' operators state; rows without
+words don't reach the mix, and a null identifier is kept like any other.
 """
 
 from __future__ import annotations
@@ -47,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned and tokenizing stages can't be expressed in SQL; tests hold the stages against brute force.
+#: Learned and tokenizing stages can't be expressed in SQL; a test holds run() against a sequential rendering of all stages.
 ORACLE_SQL = None

@@ -74,13 +74,16 @@ def even_range(k: Column, n: Column, parts: int) -> tuple[Column, Column]:
     return F.floor(k * n / parts), F.floor((k + 1) * n / parts)
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: float) -> DataFrame:
-    """Pairs of half-open ranges that overlap, by the buckets of width that both touch: an equi-join, each pair once."""
+def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: float | None = None) -> DataFrame:
+    """Pairs of half-open ranges of a group that overlap. Groups of a few ranges are joined by their key; for long ones give a
+    width: then by the buckets of it that both touch, each pair once, so a group's pairs are those near each other."""
+    near = (F.col(a_range[0]) < F.col(b_range[1])) & (F.col(a_range[1]) > F.col(b_range[0]))
+    if width is None:
+        return a.join(b, by).where(near)
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    x, y = a.withColumn("_b", span(*a_range)), b.withColumn("_b", span(*b_range))
-    both = x.join(y, [*by, "_b"])
+    both = a.withColumn("_b", span(*a_range)).join(b.withColumn("_b", span(*b_range)), [*by, "_b"])
     first = F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width)
-    return both.where((F.col(a_range[0]) < F.col(b_range[1])) & (F.col(a_range[1]) > F.col(b_range[0])) & (F.col("_b") == first)).drop("_b")
+    return both.where(near & (F.col("_b") == first)).drop("_b")
 
 
 def cut_map(df: DataFrame, by: list[str], start: str, end: str, duration: str, bins: int = 100) -> DataFrame:
