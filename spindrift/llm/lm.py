@@ -1,21 +1,28 @@
 """LM scoring by a log-bilinear model, trained in numpy with noise-contrastive estimation.
 
-The score of a word after two others is c1*r(w1)*q(w) + c2*r(w2)*q(w) + b(w).
-Every task trains on its own documents from common parameters, against noise
-words drawn from the unigram distribution; parameters are averaged by row,
-weighted by tokens, in as many rounds as asked for. With a vocabulary of fixed
-size, products of matrices give the exact normaliser of every pair of context
-words, so scores are normalised log-probabilities by table look-up. A word
-outside the vocabulary has the probability of "unknown" times its smoothed
-share of the unknown words, so the model and the base share one event space.
+The score of a word after two others is c1*r(w1)*q(w) + c2*r(w2)*q(w) + b(w),
+and that of its class likewise. Every task trains on its own documents from
+common parameters, against noise words and noise classes drawn from the unigram
+distribution; parameters are averaged by row, weighted by tokens, in as many
+rounds as asked for. The vocabulary grows with the square root of the training
+tokens, up to MOST words. Probabilities are normalised exactly: over all
+classes, then over the words of the class, by products of matrices; classes
+are runs of words by falling frequency, of equal sums of the root of it, so
+frequent words meet few others. A word outside the vocabulary has the
+probability of "unknown" times its smoothed share of the unknown words, so the
+model and the base share one event space.
 
 Counts cover all training documents. The base and the unknown words' shares
 need each word's count: frequent words (a bounded number) are sent to all
-tasks, the others are joined by word.
+tasks, the others are joined by word. Which documents a trainer sees follows
+from how the input is split, so the same files with the same settings give the
+same scores, other splits slightly other ones.
 
 Nulls: a null text is empty, one end token; a null identifier hashes as the
-empty string. Repeated rows count and are scored each. Without training tokens
-score equals base_score. An empty table gives an empty result.
+empty string. Repeated rows count and are scored each; a very long text is
+scored in steps of bounded size. Columns besides the two named ones are not
+read. Without training tokens score equals base_score. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, partitions
-from .words import LOWER, count_words, frequency_bound, sent
+from .words import LOWER, count_words, frequency_bound, pack, sent, unpacked_table
 
 #: Ids of the model's vocabulary: unknown words, the end of a text, the place before its beginning (context only), then words.
 UNKNOWN, END, BEGIN, WORDS = 0, 1, 2, 3
-VOCABULARY, DIMENSIONS = 2048, 32
+LEAST, MOST, DIMENSIONS = 1 << 8, 1 << 16, 32
 #: Words whose counts are sent to every task, at most.
 FREQUENT = 1 << 19
-NOISE, STEP_TOKENS, RATE, ROUNDS = 32, 4096, 0.05, 1
+NOISE, STEP_TOKENS, RATE, ROUNDS = 32, 1024, 0.05, 1
+#: Tokens that are scored at once.
+SCORED = 1 << 17
 HELD_OUT, FOLDS = 1, 5
 
 
@@ -44,52 +53,104 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def start(unigram: np.ndarray, dimensions: int = DIMENSIONS) -> list[np.ndarray]:
-    """r, q, c (two rows), b: small random vectors, the bias at the unigram distribution."""
+def grown(tokens: int) -> int:
+    """Entries of the vocabulary: about the square root of the training tokens, a power of two."""
+    return min(MOST, max(LEAST, 1 << round(np.log2(max(1, tokens)) / 2)))
+
+
+class Classes:
+    """Runs of entries by falling frequency; the place before a beginning is never predicted and has no class."""
+
+    def __init__(self, unigram: np.ndarray):
+        order = np.argsort(-unigram, kind="stable")
+        self.order = order[order != BEGIN]
+        root = np.sqrt(unigram[self.order])
+        n = max(1, min(len(self.order), round(np.sqrt(len(unigram)))))
+        share = (np.cumsum(root) - root / 2) / root.sum()
+        of = np.unique(np.minimum((share * n).astype(np.int64), n - 1), return_inverse=True)[1]
+        self.ends = np.flatnonzero(np.r_[of[1:] != of[:-1], True]) + 1  # where each class ends in order
+        self.of = np.zeros(len(unigram), np.int64)
+        self.of[self.order] = of
+        self.mass = np.bincount(of, unigram[self.order])
+
+
+def start(unigram: np.ndarray, classes: Classes, dimensions: int = DIMENSIONS) -> list[np.ndarray]:
+    """r, q, c (two rows), b, and of classes q and b: small random vectors, biases at the unigram distribution."""
     rng = np.random.default_rng(7)
-    v = len(unigram)
-    return [(rng.standard_normal((v, dimensions)) * 0.1).astype(np.float32), (rng.standard_normal((v, dimensions)) * 0.1).astype(np.float32), np.ones((2, dimensions), np.float32), np.log(unigram).astype(np.float32)]
+    v, k = len(unigram), len(classes.ends)
+    small = lambda n: (rng.standard_normal((n, dimensions)) * 0.1).astype(np.float32)
+    log = lambda p: np.log(p / p.sum()).astype(np.float32)
+    return [small(v), small(v), np.ones((2, dimensions), np.float32), log(unigram), small(k), log(classes.mass)]
+
+
+class Sums:
+    """Sums of rows by place, in a table of its own that is cleared after each use: no sorting."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.table, self.met, self.across = np.zeros(shape, np.float32), np.zeros(shape[0], bool), np.arange(shape[1])
 
+    def of(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct places, sums)."""
+        np.add.at(self.table.reshape(-1), ((at * self.table.shape[1])[:, None] + self.across).ravel(), rows.astype(np.float32, copy=False).ravel())
+        self.met[at] = True
+        places = np.flatnonzero(self.met)
+        sums = self.table[places]
+        self.table[places], self.met[places] = 0, False
+        return places, sums
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, sums of rows by place)."""
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    return sorted_at[first], np.add.reduceat(rows[order], first, axis=0)
+
+class Noise:
+    """Draws from a distribution."""
+
+    def __init__(self, mass: np.ndarray, rng):
+        p = mass / mass.sum()
+        self.ends, self.log, self.rng = np.cumsum(p), np.log(NOISE * p).astype(np.float32), rng
+
+    def draw(self) -> np.ndarray:
+        return np.searchsorted(self.ends, self.rng.random(NOISE)).clip(0, len(self.ends) - 1)
+
+
+def contrast(h: np.ndarray, q: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, log: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the noise-contrastive loss of true outputs w against noise k that all tokens share: by h, the rows of q that
+    change and by them, by b."""
+    qw, qk = q[w], q[k]
+    s = np.einsum("ij,ij->i", h, qw) + b[w] - log[w]
+    sk = h @ qk.T + (b[k] - log[k])
+    g = -1 / (1 + np.exp(np.clip(s, -30, 30)))  # of the loss by s: true outputs
+    gk = 1 / (1 + np.exp(-np.clip(sk, -30, 30)))  # and noise
+    at, rows = sums.of(np.concatenate([w, k]), np.concatenate([g[:, None] * h, gk.T @ h]))
+    return g[:, None] * qw + gk @ qk, at, rows, np.bincount(w, g, len(b)) + np.bincount(k, gk.sum(axis=0), len(b))
 
 
 class Trainer:
-    """Steps of AdaGrad on the noise-contrastive loss; the noise words of a step are shared by its tokens."""
+    """Steps of AdaGrad on the noise-contrastive loss of words and of classes."""
 
-    def __init__(self, parameters: list[np.ndarray], unigram: np.ndarray, seed: int):
-        self.r, self.q, self.c, self.b = (p.copy() for p in parameters)
-        self.squares = [np.full(len(p), 1.0, np.float32) for p in (self.r, self.q, self.c)] + [np.full(len(self.b), 1.0, np.float32)]
-        self.noise = np.cumsum(unigram / unigram.sum())
-        self.log_noise = np.log(NOISE * unigram / unigram.sum()).astype(np.float32)
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, parameters: list[np.ndarray], unigram: np.ndarray, classes: Classes, seed: int):
+        self.p = [p.copy() for p in parameters]
+        self.squares = [np.full(len(p), 1.0, np.float32) for p in self.p]
+        self.rng, self.classes = np.random.default_rng(seed), classes
+        self.words, self.groups = Noise(unigram, self.rng), Noise(classes.mass, self.rng)
+        self.sums = {i: Sums(self.p[i].shape) for i in (0, 1, 4)}
 
-    def update(self, i: int, p: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+    def update(self, i: int, at: np.ndarray, grad: np.ndarray) -> None:
         self.squares[i][at] += (grad * grad).mean(axis=1) if grad.ndim > 1 else grad * grad
         rate = RATE / np.sqrt(self.squares[i][at])
-        p[at] -= (rate[:, None] if grad.ndim > 1 else rate) * grad
+        self.p[i][at] -= (rate[:, None] if grad.ndim > 1 else rate) * grad
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
-        k = np.searchsorted(self.noise, self.rng.random(NOISE)).clip(0, len(self.noise) - 1)
-        r1, r2, q, qk = self.r[w1], self.r[w2], self.q[w], self.q[k]
-        h = r1 * self.c[0] + r2 * self.c[1]
-        s = (h * q).sum(axis=1) + self.b[w] - self.log_noise[w]
-        sk = h @ qk.T + (self.b[k] - self.log_noise[k])
-        g = -1 / (1 + np.exp(np.clip(s, -30, 30)))  # of the loss by s: true words
-        gk = 1 / (1 + np.exp(-np.clip(sk, -30, 30)))  # and noise
-        gh = g[:, None] * q + gk @ qk
-        at, rows = add_rows(self.q, np.concatenate([w, k]), np.concatenate([g[:, None] * h, gk.T @ h]))
-        gb = np.bincount(w, g, len(self.b)) + np.bincount(k, gk.sum(axis=0), len(self.b))
-        self.update(1, self.q, at, rows)
-        self.update(3, self.b, at, gb[at].astype(np.float32))
-        at, rows = add_rows(self.r, np.concatenate([w1, w2]), np.concatenate([gh * self.c[0], gh * self.c[1]]))
-        self.update(0, self.r, at, rows)
-        self.update(2, self.c, np.arange(2), np.stack([(gh * r1).sum(axis=0), (gh * r2).sum(axis=0)]))
+        r, q, c, b, kq, kb = self.p
+        r1, r2 = r[w1], r[w2]
+        h = r1 * c[0] + r2 * c[1]
+        gh = np.zeros_like(h)
+        for i, j, out, bias, true, noise in ((1, 3, q, b, w, self.words), (4, 5, kq, kb, self.classes.of[w], self.groups)):
+            more, at, rows, gb = contrast(h, out, bias, true, noise.draw(), noise.log, self.sums[i])
+            gh += more
+            self.update(i, at, rows)
+            self.update(j, at, gb[at].astype(np.float32))
+        at, rows = self.sums[0].of(np.concatenate([w1, w2]), np.concatenate([gh * c[0], gh * c[1]]))
+        c_grad = np.stack([(gh * r1).sum(axis=0), (gh * r2).sum(axis=0)])
+        self.update(0, at, rows)
+        self.update(2, np.arange(2), c_grad)
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,23 +163,25 @@ def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return w1, w2
 
 
-def train(docs: DataFrame, ids: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+def train(docs: DataFrame, ids: dict[bytes, int], unigram: np.ndarray, classes: Classes, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Parameters after so many rounds over the texts (column text) of docs."""
     spark = docs.sparkSession
-    parameters = start(unigram)
+    parameters = start(unigram, classes)
     shapes = [p.shape for p in parameters]
     words = spark.sparkContext.broadcast(ids)
     for turn in range(rounds):
         common = spark.sparkContext.broadcast((parameters, unigram))
 
         def local(batches, common=common, turn=turn):
-            trainer = Trainer(*common.value, seed=1000 * turn + TaskContext.get().partitionId())
+            parameters, unigram = common.value
+            trainer = Trainer(parameters, unigram, Classes(unigram), seed=1000 * turn + TaskContext.get().partitionId())
             get, tokens, seen = words.value.get, [], 0
             ends: list[int] = []
 
             def learn():
-                nonlocal tokens, ends
+                nonlocal tokens, ends, seen
                 w = np.array(tokens, np.int64)
+                seen += len(w)
                 w1, w2 = contexts(w, np.array(ends))
                 order = trainer.rng.permutation(len(w))
                 for i in range(0, len(w), STEP_TOKENS):
@@ -131,13 +194,12 @@ def train(docs: DataFrame, ids: dict[bytes, int], unigram: np.ndarray, rounds: i
                     tokens += [get(x, UNKNOWN) for x in (text or b"").translate(LOWER).split()]
                     tokens.append(END)
                     ends.append(len(tokens))
-                    seen += 1
                     if len(tokens) >= 1 << 18:
                         learn()
             if tokens:
                 learn()
             if seen:
-                rows = np.concatenate([trainer.r, trainer.q, trainer.c, np.pad(trainer.b, (0, -len(trainer.b) % DIMENSIONS)).reshape(-1, DIMENSIONS)])
+                rows = np.concatenate([p if p.ndim > 1 else np.pad(p, (0, -len(p) % DIMENSIONS)).reshape(-1, DIMENSIONS) for p in trainer.p])
                 for i in range(0, len(rows), 256):
                     part = rows[i : i + 256]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(np.full(len(part), float(seen))), pa.array([x.tobytes() for x in part.astype("<f4")], pa.binary())], names=["row", "weight", "value"])
@@ -169,18 +231,39 @@ def train(docs: DataFrame, ids: dict[bytes, int], unigram: np.ndarray, rounds: i
     return parameters
 
 
-def normalised(parameters: list[np.ndarray]) -> list[np.ndarray]:
-    """Tables t1, t2, z: log10 p(w | w1, w2) = t1[w1, w] + t2[w2, w] - z[w1, w2]. The place before a beginning is never predicted."""
-    r, q, c, b = (p.astype(np.float64) for p in parameters)
-    t1, t2 = (r * c[0]) @ q.T, (r * c[1]) @ q.T + b
-    t1[:, BEGIN] = t2[:, BEGIN] = -1e9
-    m1, m2 = t1.max(axis=1, keepdims=True), t2.max(axis=1, keepdims=True)
-    z = np.log(np.exp(t1 - m1) @ np.exp(t2 - m2).T + 1e-300) + m1 + m2.T
-    return [(t / np.log(10)).astype(np.float32) for t in (t1, t2, z)]
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def log10_probabilities(parameters: list[np.ndarray], classes: Classes, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 p(w | w1, w2) = log10 p(class of w | w1, w2) + log10 p(w | its class, w1, w2), both normalised exactly. Normalisers
+    are computed once for each context, and each context and class, of SCORED tokens."""
+    r, q, c, b, kq, kb = parameters
+    begins, out = np.r_[0, classes.ends[:-1]], np.zeros(len(w))
+    ordered, biases = q[classes.order], b[classes.order]
+    for i in range(0, len(w), SCORED):
+        part = slice(i, i + SCORED)
+        x, of = w[part], classes.of[w[part]]
+        contexts_met, at = np.unique(w1[part] * len(b) + w2[part], return_inverse=True)
+        h = r[contexts_met // len(b)] * c[0] + r[contexts_met % len(b)] * c[1]
+        whole = log_sums(h @ kq.T + kb)
+        pairs, which = np.unique(of * len(h) + at, return_inverse=True)  # by class, then context
+        inside = np.zeros(len(pairs))
+        cuts = np.flatnonzero(np.diff(pairs // len(h), prepend=-1, append=-1))
+        for a, z in zip(cuts, cuts[1:]):
+            k = pairs[a] // len(h)
+            members = slice(begins[k], classes.ends[k])
+            inside[a:z] = log_sums(h[pairs[a:z] % len(h)] @ ordered[members].T + biases[members])
+        own = h[at]
+        found = np.einsum("ij,ij->i", own, kq[of]) + kb[of] - whole[at] + np.einsum("ij,ij->i", own, q[x]) + b[x] - inside[which]
+        out[part] = found
+    return out / np.log(10)
+
+
+def log_sums(logits: np.ndarray) -> np.ndarray:
+    most = logits.max(axis=1, keepdims=True)
+    return (np.log(np.exp(logits - most).sum(axis=1)) + most[:, 0]).astype(float)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. vocabulary: its entries,
+    grown() of the training tokens unless given."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"))
@@ -192,21 +275,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     mass = every + 0.5 * (distinct + 1)
     least = frequency_bound(table, frequent)
     words, counts = sent(table.where(F.col("n") >= least).select("word", "n"), [("n", "descending"), ("word", "ascending")])
-    words, counts = words.cast(pa.binary()).to_pylist(), counts.to_numpy().astype(float)
-    top = min(len(words), vocabulary - WORDS)
+    packed = pack([words])
+    counts = counts.to_numpy().astype(float)
+    top = min(len(words), (vocabulary or grown(every)) - WORDS)
     inside = counts[:top].sum() + texts
     outside = mass - inside - 0.5 * (top + (texts > 0))  # smoothed mass of all other words, the unseen one included
     unigram = np.r_[max(1.0, every - inside), max(1.0, texts), 1e-3, counts[:top]]
-    tables = normalised(train(learn, {w: i + WORDS for i, w in enumerate(words[:top])}, unigram / unigram.sum(), rounds)) if every else None
+    classes = Classes(unigram / unigram.sum())
+    ids = {w: i + WORDS for i, w in enumerate(words[:top].cast(pa.binary()).to_pylist())}
+    model = (train(learn, ids, unigram / unigram.sum(), classes, rounds), unigram / unigram.sum()) if every else None
 
     log_counts = np.log10(counts + 0.5)
-    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    rest = spark.sparkContext.broadcast((log_counts, tables))
+    known = spark.sparkContext.broadcast(packed)
+    rest = spark.sparkContext.broadcast((log_counts, model))
     end_log, mass_log, outside_log = np.log10(texts + 0.5), np.log10(mass), np.log10(outside) if every else 0.0
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
-        get, (logs, model) = known.value.get, rest.value
+        places_of = unpacked_table(known, "places", lambda t: {w: i for i, w in enumerate(t.column(0).cast(pa.binary()).to_pylist())})
+        get, (logs, model) = places_of.get, rest.value
+        classes = Classes(model[1]) if model is not None else None
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             texts_in = batch.column(1).cast(pa.binary()).to_pylist()
@@ -225,10 +313,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 base = np.add.reduceat(value - mass_log, firsts)
                 frequent_known = np.add.reduceat((at >= 0) | ((at == -2) & (every > 0)), firsts, dtype=np.int64)
                 if model is not None:
-                    t1, t2, z = model
                     w = np.where(at == -2, END, np.where((at >= 0) & (at < top), at + WORDS, UNKNOWN))
                     w1, w2 = contexts(w, ends)
-                    p = (t1[w1, w] + t2[w2, w] - z[w1, w2]).astype(float) + np.where(w == UNKNOWN, value - outside_log, 0.0)
+                    p = log10_probabilities(model[0], classes, w1, w2, w) + np.where(w == UNKNOWN, value - outside_log, 0.0)
                     score = np.add.reduceat(p, firsts)
                 else:
                     score = base

@@ -78,13 +78,19 @@ def sent(rows: DataFrame, order: list | None = None) -> list[pa.Array]:
     return [c.combine_chunks() for c in table.columns]
 
 
-def packed_table(rows: DataFrame, order: list) -> Broadcast:
-    """A table bounded by FREQUENT, sent as the bytes of an Arrow stream: the driver never holds its rows as objects."""
-    table = rows.toArrow().sort_by(order)
+def pack(columns: list[pa.Array], names: list[str] | None = None) -> tuple[str, bytes]:
+    """A name of its own and the bytes of an Arrow stream."""
+    table = pa.table(columns, names=names or [str(i) for i in range(len(columns))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
+    return uuid.uuid4().hex, sink.getvalue().to_pybytes()
+
+
+def packed_table(rows: DataFrame, order: list) -> Broadcast:
+    """A table bounded by FREQUENT, sent as the bytes of an Arrow stream: the driver never holds its rows as objects."""
+    table = rows.toArrow().sort_by(order)
+    return rows.sparkSession.sparkContext.broadcast(pack(table.columns, table.column_names))
 
 
 def unpacked_table(sent_bytes: Broadcast, form: str, build: Callable[[pa.Table], object]):
