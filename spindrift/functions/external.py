@@ -73,6 +73,40 @@ def with_fallback(models: Sequence[Model], wait: float = 0.0, busy: tuple = (429
     return call
 
 
+def retried(model: Model, tries: int = 2, wait: float = 8.0, factor: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Model:
+    """A model asked again after a pause where it raises, so many times in all; pauses grow by the factor. The last error stays."""
+
+    def call(prompts: Sequence[str]) -> Sequence[str]:
+        for i in range(tries):
+            try:
+                return model(prompts)
+            except Exception:
+                if i == tries - 1:
+                    raise
+                sleep(wait * factor**i)
+        raise ValueError("no tries")
+
+    return call
+
+
+def polled(submit: Callable[[str], object], state: Callable[[object], tuple[str, str | None]], pause: float = 3.0, longest: float = 240.0, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic) -> Model:
+    """A model behind jobs: each prompt is submitted and asked for every so often until it is completed. state(job) gives
+    (status, answer); an error or no end in time raises."""
+
+    def wait_for(prompt: str) -> str:
+        job, until = submit(prompt), now() + longest
+        while now() < until:
+            sleep(pause)
+            status, answer = state(job)
+            if status == "completed":
+                return answer or ""
+            if status == "error":
+                raise RuntimeError(answer or "the job failed")
+        raise TimeoutError(f"no answer within {longest:g} s")
+
+    return lambda prompts: [wait_for(p) for p in prompts]
+
+
 def asked(df: DataFrame, prompt: Column, model: Model = stub, batch: int = 15, answer: str = "answer") -> DataFrame:
     """Adds a model's answers, asked in batches."""
 

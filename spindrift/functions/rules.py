@@ -58,6 +58,34 @@ def same_letters(text: Column, edited: Column, low: float = 0.9, high: float = 1
     return (a > 0) & (b >= low * a) & (b <= high * a)
 
 
+def milliseconds(seconds: Column) -> Column:
+    return half_up(seconds * 1000)
+
+
+def frame_span(start: Column, end: Column, fps: float) -> tuple[Column, Column]:
+    """First frame and the one after the last of a time on a grid of frames, one frame at least."""
+    first = half_up(start * fps)
+    return first, F.greatest(first + 1, half_up(end * fps))
+
+
+def pixel_side(at: Column, size: Column, whole: int, least: int = 8) -> tuple[Column, Column]:
+    """Begin and length in pixels of a share of a side, within it and of some pixels at least."""
+    begin = F.least(F.lit(whole - least), F.greatest(F.lit(0), half_up(at * whole)))
+    return begin, F.least(F.lit(whole) - begin, F.greatest(F.lit(least), half_up(size * whole)))
+
+
+def is_video_id(c: Column) -> Column:
+    return F.coalesce(c.rlike(V.ID_FORM), F.lit(False))
+
+
+def is_address(c: Column) -> Column:
+    return F.coalesce(c.rlike(V.ADDRESS_FORM), F.lit(False))
+
+
+def is_picture(c: Column) -> Column:
+    return F.coalesce(c.rlike(V.PICTURE_FORM), F.lit(False))
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """An aggregate: mean by weight, whose sum counts as 1 at least."""
     return F.sum(value * weight) / F.greatest(F.lit(1), F.sum(weight))

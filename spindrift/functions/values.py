@@ -77,7 +77,15 @@ TIKTOK_VIDEO = r"(?i)tiktok\.com/@[^/]+/video/\d+|//(vm|vt)\.tiktok\.com/[A-Za-z
 LISTINGS = r"(?i)instagram\.com/(popular|explore|directory|topics)/|youtube\.com/(hashtag/|results|channel/|source/)|reddit\.com/r/[A-Za-z0-9_]+/?$"
 
 # An 11-character video id in an address.
-VIDEO_ID = r"(?:youtube\.com/(?:watch\?v=|shorts/|embed/)|youtu\.be/)([A-Za-z0-9_-]{11})"
+VIDEO_ID = r"(?:youtube\.com/(?:watch\?[^#]*v=|shorts/|embed/|live/)|youtu\.be/)([A-Za-z0-9_-]{11})"
 
 # Medals of the first places, and the word for a place.
 MEDALS, PLACE = ["🥇", "🥈", "🥉"], "위"
+
+# Forms of a video id, of an address and of a preview picture's address.
+ID_FORM, ADDRESS_FORM = r"^[A-Za-z0-9_-]{11}$", r"^https?://.+\..+"
+PICTURE_FORM = r"^https://i\.ytimg\.com/vi/[A-Za-z0-9_-]{6,20}/[A-Za-z0-9_]{1,20}\.jpg$"
+
+# A project's status when a job of this type fails for good.
+FAILED_STATUS = {"transcribe": "failed_transcribe", "analyze": "failed_analyze", "render": "failed_render", "desilence": "failed_desilence", "wmremove": "failed_wm"}
+FAILED_OTHER = "failed_probe"

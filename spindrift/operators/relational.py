@@ -195,6 +195,23 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], subset: Column,
     return df.withColumn(name, F.when(subset, F.row_number().over(w)))
 
 
+def count_and_mine(likes: DataFrame, key: str, user: str, me: Column) -> DataFrame:
+    """Likes of each key, and whether the reader's is among them."""
+    return likes.groupBy(key).agg(F.count(F.lit(1)).alias("likes"), F.bool_or(F.coalesce(F.col(user) == me, F.lit(False))).alias("mine"))
+
+
+def tagged_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several kinds as one table with a column kind; columns that a kind lacks are null."""
+    tagged = [df.withColumn("kind", F.lit(kind)) for kind, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def renamed(df: DataFrame, names: dict[str, str], defaults: dict[str, object] = {}) -> DataFrame:  # noqa: B006
+    """Only the named fields (dots reach into structs), under their new names, with defaults for nulls."""
+    pick = lambda old, new: F.coalesce(F.col(old), F.lit(defaults[new])) if new in defaults else F.col(old)
+    return df.select(*[pick(old, new).alias(new) for old, new in names.items()])
+
+
 def summary(df: DataFrame, by: list[str], key: str, checked: Column) -> DataFrame:
     """Counts of a run: rows read, distinct keys, rows newly checked."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("read"), F.count_distinct(key).alias("distinct_keys"), F.count_if(F.coalesce(checked, F.lit(False))).alias("checked"))

@@ -105,6 +105,28 @@ def ownership(chunks: DataFrame, by: list[str], s: str = "s", e: str = "e", back
     return out.withColumn("own_e", F.least(F.col(e), F.coalesce(F.lead("own_s").over(w) - 1, F.col(e)))).where("own_e >= own_s")
 
 
+def written_frames(chunks: DataFrame, by: list[str], s: str = "s", e: str = "e") -> DataFrame:
+    """by, frame, chunk (from 1): the chunk that a frame comes from once all overlapping chunks are written in order."""
+    w = Window.partitionBy(*by).orderBy(s, e)
+    numbered = chunks.withColumn("chunk", F.row_number().over(w)).withColumn("_last", F.max(e).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begin = F.when(F.col(s) <= F.col("_last"), F.greatest(F.col(s), F.col("_last") - 5)).otherwise(F.col(s))
+    frames = numbered.select(*by, "chunk", F.explode(F.when(begin <= F.col(e), F.sequence(begin, F.col(e)))).alias("frame"))
+    return frames.groupBy(*by, "frame").agg(F.max("chunk").alias("chunk"))
+
+
+def lagged_reference(frames: DataFrame, by: list[str], frame: str, lag: int = 12) -> DataFrame:
+    """Each frame with the one so many before it; the first ones have the one so many after, or the last; never themselves."""
+    w = Window.partitionBy(*by).orderBy(frame)
+    last = F.last(frame).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = F.coalesce(F.lag(frame, lag).over(w), F.lead(frame, lag).over(w), last)
+    return frames.withColumn("reference", F.when(found != F.col(frame), found))
+
+
+def bounds(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """The box around the boxes of a group, and the sum of their widths (cut)."""
+    return boxes.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(F.col("x1") - F.col("x0")).alias("cut"))
+
+
 def frame_chunks(frames: DataFrame, by: list[str], frame: str, total: int, pad: int = 4, length: int = 81, gap: int = 24, overlap: int = 12) -> DataFrame:
     """Runs of frames (a step of more than gap ends one), padded, cut into chunks of up to length frames that overlap, each
     of 4k + 1 frames and 9 at least: s, e."""

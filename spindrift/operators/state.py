@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import values as V
 from ..functions.scalars import half_up, local_date
 from .relational import first_of_each, upper_medians
 
@@ -157,3 +158,19 @@ def stage_json(samples: DataFrame, stage: str, order: str, seconds: str, n: int
 def stage_samples(settings: DataFrame, value: str = "value") -> DataFrame:
     """stage, at, seconds from that value; one that isn't valid has none."""
     return settings.select(F.explode(F.from_json(value, "map<string, array<double>>")).alias("stage", "s")).select("stage", F.posexplode("s").alias("at", "seconds"))
+
+
+def after_error(jobs: DataFrame) -> DataFrame:
+    """Jobs (status, job_type, attempts, final) after a pass: one in error goes back to the queue if it was not tried before and
+    may be, else it has failed, and with it its project (project_status)."""
+    error = F.col("status") == "error"
+    again = error & (F.coalesce("attempts", F.lit(0)) < 1) & ~F.coalesce("final", F.lit(False))
+    names = F.create_map(*[F.lit(x) for pair in V.FAILED_STATUS.items() for x in pair])
+    failed = F.coalesce(F.element_at(names, F.col("job_type")), F.lit(V.FAILED_OTHER))
+    return jobs.withColumns({"project_status": F.when(error & ~again, failed), "status": F.when(again, "queued").when(error, "failed").otherwise(F.col("status"))})
+
+
+def claimable(jobs: DataFrame, project: str, job: str) -> DataFrame:
+    """project, job: the oldest queued job of each project without a running one."""
+    running = jobs.where("status = 'running'").select(project).distinct()
+    return jobs.where("status = 'queued'").join(running, project, "left_anti").groupBy(project).agg(F.min(job).alias(job))

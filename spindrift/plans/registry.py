@@ -1,9 +1,9 @@
 """All queries of the library with their SQL."""
 
-from . import channels, extras, helpers, logs, media, rules, sequences, texts
+from . import channels, extras, helpers, logs, media, rules, sequences, shapes, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (channels, extras, helpers, logs, media, rules, sequences, texts):
+for _part in (channels, extras, helpers, logs, media, rules, sequences, shapes, texts):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

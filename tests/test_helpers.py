@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import external as E
 from spindrift.functions import imaging as G
 from spindrift.functions import scalars as X
 from spindrift.operators import relational as R
@@ -82,3 +84,31 @@ def test_liveness_streams(spark, tmp_path):
     assert {r.k: str(r["at"]) for r in last.collect()} == {"a": "2024-01-01 00:00:20", "b": "2024-01-01 00:00:00", "c": "2024-01-01 00:20:00"}
     alarms = jobs.run_available(jobs.stall_alarms(stream(), "k", "at"), spark, "append")
     assert {r.key for r in alarms.collect()} == {"a", "b"}
+
+
+def test_jobs_are_polled_and_calls_repeated():
+    slept, clock, states = [], [0.0], {"a": iter([("queued", None), ("completed", "A")]), "b": iter([("error", "broken")] * 9), "c": iter([("queued", None)] * 999)}
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += s
+
+    model = E.polled(lambda p: p, lambda job: next(states[job]), sleep=sleep, now=lambda: clock[0])
+    assert model(["a"]) == ["A"] and slept == [3.0, 3.0]
+    with pytest.raises(RuntimeError, match="broken"):
+        model(["b"])
+    with pytest.raises(TimeoutError):
+        model(["c"])
+    calls = []
+
+    def flaky(prompts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return ["ok"]
+
+    slept.clear()
+    assert E.retried(flaky, 4, 3.0, 3.0, sleep)(["x"]) == ["ok"] and slept == [3.0, 9.0]
+    with pytest.raises(OSError):
+        calls.clear()
+        E.retried(flaky, 2, 8.0, sleep=sleep)(["x"])
