@@ -7,8 +7,9 @@ order, so the place of a document in the whole stream is its file's offset
 plus a running total within the file.
 
 Nulls: a null text is empty and has the end id only; a null identifier sorts
-last. Repeated identifiers are written each, ordered by their ids' checksum.
-An empty table writes an empty file set with its schema.
+last. Repeated identifiers are written each, ordered by their ids' checksum. A
+very long text is one row of a stripe. Columns besides the two named ones are
+not read. An empty table writes an empty file set with its schema.
 """
 
 from __future__ import annotations

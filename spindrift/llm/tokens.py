@@ -75,14 +75,27 @@ class WordIds(dict):
         self.path = path
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text."""
-        split = [t.split() if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self})
-        more = dict(zip(new, encoded_words(new, self.path)))
-        if len(self) + len(more) <= MEMO:
-            self.update(more)
-            return [b"".join(map(self.__getitem__, words)) for words in split]
-        return [b"".join([self[w] if w in self else more[w] for w in words]) for words in split]
+        """Ids of each text. Each word is looked up once; those not remembered are encoded together."""
+        found, new, holes = [], {}, []
+        for text in texts:
+            words = text.split() if text else []
+            parts = list(map(self.get, words))
+            found.append(parts)
+            i = -1
+            while True:
+                try:
+                    i = parts.index(None, i + 1)
+                except ValueError:
+                    break
+                holes.append((parts, i, words[i]))
+                new[words[i]] = b""
+        if new:
+            new = dict(zip(new, encoded_words(list(new), self.path)))
+            for parts, i, word in holes:
+                parts[i] = new[word]
+            if len(self) + len(new) <= MEMO:
+                self.update(new)
+        return list(map(b"".join, found))
 
 
 def word_ids(path: str | None = None) -> WordIds:
