@@ -20,8 +20,10 @@ at similarity 0.8 and of 1e-9 at 0.85.
 
 Nulls: a null or empty text, or one without words, has an empty set and links
 with nothing; a null identifier is never linked and is its own component
-(null). Repeated identifiers are told apart as rows only by their sets. An
-empty table gives an empty result. Extra columns pass through untouched.
+(null). Repeated identifiers are told apart as rows only by their sets. A very
+long text is sketched in steps of bounded size, and its full set travels only
+where a pair is confirmed. An empty table gives an empty result. Extra columns
+pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ Labels, language, source and identifier never enter a score.
 
 Nulls: a null or empty text scores as the bias alone; rows without a label
 aren't learned from; a null identifier is never learned from. Repeated rows
-get the same score; an empty table gives an empty result, and with no labels
-at all every score is 0.5.
+get the same score, and one of them is learned from; a very long text is scored
+whole. Extra columns pass through under any name. An empty table gives an empty
+result, and with no labels at all every score is 0.5.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["id", "label", "at", "value"])
 
     # the sample is bounded, so it is sent to the documents rather than they to it
-    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").selectExpr("cast(_id as long) id", "_label label", "_text text")
+    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # of rows that repeat an identifier one is learned from, so the bound holds after the join
+    labelled = labelled.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).selectExpr("cast(_id as long) id", "_label label", "_text text")
     table = arrow_map(labelled, vectors, "id long, label int, at binary, value binary").toArrow()
     data = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1:]))
     model = Leader()
