@@ -4,7 +4,10 @@ Every tree splits the space by recursive random hyperplanes (through the
 direction of two random vectors of a node, at the median of the node's sample);
 vectors near a hyperplane spill to both sides. The upper levels are fitted on
 at most SAMPLE vectors chosen by hash, and every vector goes down all trees.
-Leaves that are still large are split further in their task by the same rule.
+Where the table needs more levels than the sample gives (and for lengths of
+vectors too rare to be fitted), hyperplanes in random directions through the
+middle of the leaf's sample go on, so leaves don't grow with the table. A leaf
+that is large all the same is split further in its task by the same rule.
 Vectors are compared within leaves by matrix products; pairs near the threshold
 are verified in double precision. Of a leaf's links a spanning forest is passed
 on, and the links of all trees give components.
@@ -21,8 +24,9 @@ so copies are never expanded into pairs.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components link
 with nothing. A null identifier links with nothing and has a null component.
-Vectors of different lengths don't link. Rows that repeat an identifier share
-their links. An empty table gives an empty result.
+Vectors of different lengths don't link; very long ones are rows like others.
+Rows that repeat an identifier share their links. Columns besides the two named
+ones are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ TREES = 12
 SAMPLE, SAMPLE_NODE = 20_000, 32
 #: Vectors in a leaf, about; a leaf of more than LARGE is split further in its task.
 LEAF, LARGE = 800, 4096
+#: Vectors that go down the trees at a time.
+DEALT = 4096
+#: Lengths of vectors that trees are fitted for; the others have random directions only.
+FITTED = 16
 #: Share of a node's vectors on either side of a hyperplane that go to both sides.
 SPILL = 0.06
 SLACK = 1e-4  # what single precision may be off by, at least; such pairs are verified in double
@@ -63,17 +71,20 @@ def hyperplane(x: np.ndarray, rng) -> tuple[np.ndarray, float, float, float] | N
     return None
 
 
-def plant(sample: np.ndarray, depth: int, seed: int) -> dict[int, tuple]:
-    """The upper levels of a tree: node -> hyperplane; the children of node i are 2i and 2i + 1, the root is 1."""
-    rng, nodes, todo = np.random.default_rng(seed), {}, [(1, np.arange(len(sample)), 0)]
+def plant(sample: np.ndarray, depth: int, seed: int) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """The upper levels of a tree: node -> hyperplane, and leaf -> (middle, spread by direction) of its sample; the children of
+    node i are 2i and 2i + 1, the root is 1."""
+    rng, nodes, leaves, todo = np.random.default_rng(seed), {}, {}, [(1, np.arange(len(sample)), 0)]
     while todo:
         node, rows, level = todo.pop()
         if level >= depth or len(rows) < SAMPLE_NODE or (plane := hyperplane(sample[rows], rng)) is None:
+            x = sample[rows]
+            leaves[node] = x.mean(axis=0), float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean() / x.shape[1]))
             continue
         nodes[node] = plane
         side = sample[rows] @ plane[0]
         todo += [(2 * node, rows[side <= plane[3]], level + 1), (2 * node + 1, rows[side > plane[1]], level + 1)]
-    return nodes
+    return nodes, leaves
 
 
 def descend(x: np.ndarray, nodes: dict[int, tuple]) -> list[tuple[int, np.ndarray]]:
@@ -90,6 +101,20 @@ def descend(x: np.ndarray, nodes: dict[int, tuple]) -> list[tuple[int, np.ndarra
     return out
 
 
+def further(x: np.ndarray, rows: np.ndarray, node: int, levels: int, tree: int, leaf: tuple | None) -> list[tuple[int, np.ndarray]]:
+    """(leaf, rows) after so many more levels, by random directions through a leaf's middle, with spill as above."""
+    if levels <= 0 or not len(rows):
+        return [(node, rows)]
+    middle, spread = leaf if leaf is not None else (np.zeros(x.shape[1]), x.shape[1] ** -0.5)
+    d = np.random.default_rng([tree, x.shape[1], 77]).standard_normal((levels, x.shape[1]))
+    side = (x[rows] - middle) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T
+    margin = 2.5 * SPILL * spread  # of a normal distribution, a share of about SPILL lies on either side
+    out = [(node, np.arange(len(rows)))]
+    for k in range(levels):
+        out = [(2 * n + right, part) for n, at in out for right, part in ((0, at[side[at, k] <= margin]), (1, at[side[at, k] > -margin])) if len(part)]
+    return [(n, rows[at]) for n, at in out]
+
+
 def parts_of(x: np.ndarray, rng, level: int = 0):
     """Rows of the parts that a leaf is split into where it is large; x: unit vectors in single precision."""
     if len(x) > LARGE and level < 24 and (plane := hyperplane(x[rng.choice(len(x), min(len(x), 2000), replace=False)], rng)) is not None:
@@ -166,6 +191,12 @@ def counted(x: np.ndarray, exact: np.ndarray, copies: np.ndarray, second: np.nda
     return out
 
 
+def _closed(batches):
+    """Batches, then None."""
+    yield from batches
+    yield None
+
+
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors in single precision, vectors as given) of a group's rows."""
     exact = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(len(table), -1)
@@ -191,33 +222,52 @@ def vector_groups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id",
     reps = rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     reps = scratch.keep(reps, "reps")
 
-    sizes = reps.groupBy(F.length("v").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
-    forest: dict[int, list[dict]] = {}
-    for size in sizes.orderBy(F.desc("n"), "bytes").limit(16).collect():  # vectors of a rarer length form one leaf a tree, split in its task
-        depth = max(0, int(np.ceil(np.log2(size["n"] / leaf)))) if size["n"] > leaf else 0
-        if depth:
-            picked = reps.where(F.length("v") == size["bytes"]).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-            x = unit(np.frombuffer(b"".join(picked.column("v").to_pylist()), "<f8").reshape(len(picked), -1))
-            forest[size["bytes"]] = [plant(x, depth, 100 + t) for t in range(trees)]
+    sizes = scratch.keep(reps.groupBy(F.length("v").alias("bytes")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    forest: dict[int, list[tuple]] = {}
+    for size in sizes.where(F.col("n") > leaf).orderBy(F.desc("n"), "bytes").limit(FITTED).collect():
+        picked = reps.where(F.length("v") == size["bytes"]).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+        x = unit(np.frombuffer(b"".join(picked.column("v").to_pylist()), "<f8").reshape(len(picked), -1))
+        forest[size["bytes"]] = [plant(x, int(np.ceil(np.log2(size["n"] / leaf))), 100 + t) for t in range(trees)]
     planted = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE, not by the table
 
+    def placed(v: list[bytes], depth: np.ndarray, t: int, lengths: dict[int, np.ndarray], units: dict[int, np.ndarray]):
+        """(leaf, row) arrays of all vectors in tree t; a length without levels has one leaf, in the first tree."""
+        leaves, at = [], []
+        for size, rows in lengths.items():
+            levels = int(depth[rows[0]])
+            if t and not levels:
+                continue
+            nodes, middles = planted.value[size][t] if size in planted.value else ({}, {})
+            for node, part in descend(units[size], nodes):
+                for end, part in further(units[size], part, node, levels - node.bit_length() + 1, t, middles.get(node)):
+                    leaves.append(np.full(len(part), (size << 44) + (t << 36) + end, np.int64))
+                    at.append(rows[part])
+        return (np.concatenate(leaves), np.concatenate(at)) if leaves else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def dealt(batches):
-        model = planted.value
-        for batch in batches:
-            v = batch.column(1).to_pylist()
+        """Rows by leaf, a batch a tree, for DEALT rows at a time."""
+        held, n = [], 0
+        for batch in _closed(batches):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if not n or (batch is not None and n < DEALT):
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            v, depth = table.column("v").to_pylist(), table.column("depth").to_numpy()
+            table, held, n = table.drop_columns(["depth"]), [], 0
             length = np.array([len(b) for b in v])
-            for size in np.unique(length).tolist():
-                rows = np.flatnonzero(length == size)
-                x = unit(np.frombuffer(b"".join(v[i] for i in rows), "<f8").reshape(len(rows), -1))
-                planes = model.get(size)
-                for t in range(trees if planes else 1):
-                    for node, part in descend(x, planes[t] if planes else {}):
-                        if len(part):
-                            at = pa.array(rows[part])
-                            leaf_key = np.full(len(at), (size << 44) + (t << 36) + node, np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(leaf_key), *[c.take(at) for c in batch.columns]], names=["leaf", *batch.schema.names])
+            lengths = {int(size): np.flatnonzero(length == size) for size in np.unique(length)}
+            units = {size: unit(np.frombuffer(b"".join(v[i] for i in rows), "<f8").reshape(len(rows), -1)) for size, rows in lengths.items()}
+            for t in range(trees):
+                leaves_of, at = placed(v, depth, t, lengths, units)
+                if len(at):
+                    yield from table.take(pa.array(at)).add_column(0, "leaf", pa.array(leaves_of)).combine_chunks().to_batches()
 
     def leaves(rows: DataFrame, more: str = "") -> DataFrame:
+        # a row a length of vectors, with the levels that its number asks for
+        deep = sizes.select("bytes", F.when(F.col("n") > leaf, F.ceil(F.log2(F.col("n") / leaf))).otherwise(0).cast("int").alias("depth"))
+        rows = rows.join(deep, F.length("v") == F.col("bytes")).select("id", "v", "depth", *[c for c in rows.columns if c not in ("id", "v")])
         rows = arrow_map(rows, dealt, f"leaf long, id long, v binary{more}")
         return rows.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "id")
 
@@ -315,7 +365,7 @@ def vector_groups(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id",
     facts = facts.select(F.sha2("v", 256).alias("digest"), "n_links", "component_id")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.sha2("v", 256)).alias("digest")).join(facts, "digest", "left")
     out = scratch.keep(out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "groups")
-    scratch.drop("vectors", "reps", "links", "groups1", "dense", "probes", "links2", "groups2", "tallies")
+    scratch.drop("vectors", "reps", "sizes", "links", "groups1", "dense", "probes", "links2", "groups2", "tallies")
     return out
 
 
