@@ -51,6 +51,7 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n, below (rows of the group with less), rows (all of the group's with a value): counts combine on the map
     side, so groups cost their distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = Scratch(df.sparkSession).keep(counts, "counts")  # written, lest ranges, sums and totals each count again
     below = running(counts, by, [F.col(value)], {"n": "below"})
     return below.join(counts.groupBy(*by).agg(F.sum("n").alias("rows")), by)
 
