@@ -75,7 +75,7 @@ def objective_score(spark, d):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey) AS rank FROM customer QUALIFY rank <= 60")
 def implicit_null_order(spark, d):
-    """A descending sort without a null order: the store that the reference asks puts nulls first, Spark would put them last."""
+    """A descending sort without a null order: many stores put nulls first there, Spark puts them last."""
     rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("subscribers"))
     return R.page(rows, [R.store_desc("subscribers"), F.col("c_custkey")], 1, 60).select("c_custkey", F.col("rank").cast("long").alias("rank"))
 
