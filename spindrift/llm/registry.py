@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, html_text, lm, minhash, mixing, quality, rp_forest, secrets, token_files
+from . import bpe, exact_dedup, html_text, lm, minhash, mixing, prefix_trie, quality, rp_forest, secrets, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_lm_score": lm.op9_lm_score,
     "op10_quality": quality.op10_quality,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 SQL = {
@@ -20,4 +21,5 @@ SQL = {
     "op2_embedding_dedup": rp_forest.ORACLE_SQL,
     "op4_near_dedup": minhash.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
