@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for __spark_entry__.py."""
 
-from . import alignment, bpe, exact_dedup, html_text, lm, minhash, mixing, prefix_trie, quality, rp_forest, secrets, token_files
+from . import alignment, bpe, exact_dedup, html_text, lm, minhash, mixing, prefix_trie, quality, rp_forest, secrets, suffix_dedup, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_lm_score": lm.op9_lm_score,
     "op10_quality": quality.op10_quality,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op4_near_dedup": minhash.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }
