@@ -92,8 +92,15 @@ def pieces(data: bytes, bounds: list[tuple[int, int]], size: int = SIZE, gram: i
         of = np.repeat(np.arange(len(first)), parts)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
         first, end = first[of] + nth * PIECE, np.minimum(end[of], first[of] + (nth + 1) * PIECE)
-    counts = np.searchsorted(places, end + width - 1) - np.searchsorted(places, first)
-    return least[first].view(np.int64), first, end, counts
+    key = least[first]
+    # each place counts for the last piece before it that has its key
+    counts, piece = np.zeros(len(first), np.int64), np.searchsorted(first, places, "right") - 1
+    while len(places):
+        hit = key[piece] == h[places]
+        np.add.at(counts, piece[hit], 1)
+        places, piece = places[~hit], piece[~hit] - 1
+        places, piece = places[piece >= 0], piece[piece >= 0]
+    return key.view(np.int64), first, end, np.maximum(counts, 1)
 
 
 # suffix arrays ---------------------------------------------------------------------------------------------------------------
@@ -320,14 +327,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = SIZE, gram: in
 
     names = ["key", "d1", "d2"]
     every = scratch.keep(arrow_map(docs.select("file", "row", "text"), found, "key long, d1 long, d2 long, file long, row long, start long, starts long, places long"), "pieces")
-    one = every.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"), F.sum("places").alias("places"), *[F.first(c).alias(c) for c in ("file", "row", "start", "starts")])
-    one = scratch.keep(one, "alike")
-    keys = one.groupBy("key").agg(F.sum("places").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("key", F.ceil(F.col("kinds") / meet).alias("parts"))
-    live = one.join(keys, "key")
-    of_doc = live.groupBy("file", "row").agg(F.collect_list(F.struct(*names, "copies", "start", "starts", "parts")).alias("pieces"))
+    keys = every.groupBy("key").agg(F.sum("places").alias("all")).where("all > 1").select("key")
+    every = scratch.keep(every.join(keys, "key").drop("places"), "live")
+    scratch.drop("pieces")
+    one = scratch.keep(every.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("file", "row", "start", "starts")]), "alike")
+    kinds = one.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / meet).alias("parts"))
+    of_doc = one.join(kinds, "key").groupBy("file", "row").agg(F.collect_list(F.struct(*names, "copies", "start", "starts", "parts")).alias("pieces"))
     cut = docs.select("file", "row", F.col("text").cast("binary").alias("text")).join(of_doc, ["file", "row"])
     cut = cut.select(F.explode(F.transform("pieces", lambda p: F.struct(*[p[c].alias(c) for c in (*names, "copies", "parts")], F.substring("text", (p["start"] + 1).cast("int"), (p["starts"] + size - 1).cast("int")).alias("bytes")))).alias("p")).select("p.*")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("d1", "d2"), "parts")).repartition(width, "key", "part").sortWithinPartitions("key", "part", "d1", "d2")
+    cut = scratch.keep(cut.withColumn("part", F.pmod(F.xxhash64("d1", "d2"), "parts")), "cut")
+    scratch.drop("alike")
+    cut = cut.repartition(width, "key", "part").sortWithinPartitions("key", "part", "d1", "d2")
 
     def sorted_out(batches):
         """Shards end between keys (or a key's parts), where they are full."""
@@ -358,7 +368,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = SIZE, gram: in
             yield from passed()
 
     decided = scratch.keep(arrow_map(cut, sorted_out, "key long, d1 long, d2 long, runs binary, s1 long, s2 long, at long, n long"), "decided")
-    scratch.drop("alike")
+    scratch.drop("cut")
     # strings of keys in several shards: one row a shard and string
     several = decided.where("s1 is not null")
     more = several.groupBy("key", "s1", "s2").agg(F.sum("n").alias("total")).where("total > 1")
@@ -383,7 +393,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         id_col, text_col = "doc_id", "text"
     docs = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     starts = scratch.keep(repeated_spans(docs, scratch, size, gram, meet), "starts")
-    scratch.drop("pieces", "decided")
+    scratch.drop("live", "decided")
     both = docs.join(starts, ["file", "row"], "left").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.col("starts.start").alias("start"), F.col("starts.runs").alias("runs"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
