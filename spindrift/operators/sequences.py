@@ -1,16 +1,23 @@
 """Intervals and ordered sequences: islands, complements, chunks, hysteresis, greedy folds.
 
 A sequence (one recording, one session) is a group of bounded size; groups are
-spread over tasks by their key. Order-dependent folds run over a sorted array
-inside the JVM.
+spread over tasks by their key. Order-dependent folds over groups of any length
+run over a sorted stream and keep only their state; short ones run over a sorted
+array inside the JVM.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Scratch
+
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """Numbers runs: a row for which starts (over the window's lag) is true or null begins a new one."""
@@ -74,16 +81,51 @@ def even_range(k: Column, n: Column, parts: int) -> tuple[Column, Column]:
     return F.floor(k * n / parts), F.floor((k + 1) * n / parts)
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: float | None = None) -> DataFrame:
-    """Pairs of half-open ranges of a group that overlap. Groups of a few ranges are joined by their key; for long ones give a
-    width: then by the buckets of it that both touch, each pair once, so a group's pairs are those near each other."""
-    near = (F.col(a_range[0]) < F.col(b_range[1])) & (F.col(a_range[1]) > F.col(b_range[0]))
-    if width is None:
+def _dyadic(lo: Column, hi: Column, top: Column) -> Column:
+    """The fewest dyadic nodes (level, number) that make up the cells from lo to hi, both included: two a level at most."""
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    from_, to = lambda k: F.ceil(lo / size(k)), lambda k: F.floor((hi + 1) / size(k))
+    node = lambda k, n: F.struct(k.alias("level"), n.cast("long").alias("node"))
+    some = lambda k: F.array_compact(F.array(
+        F.when((from_(k) < to(k)) & (from_(k) % 2 != 0), node(k, from_(k))), F.when((from_(k) < to(k)) & (to(k) % 2 != 0), node(k, to(k) - 1))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), some))
+
+
+def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], cell: float = 1.0, small: int = 64) -> DataFrame:
+    """Pairs of half-open ranges of a group that overlap; rows with a null group or end have none.
+
+    Groups of a few ranges on both sides are joined by their key. In others one
+    of two ranges holds the other's start, so a start meets ranges in the dyadic
+    nodes over it: a range of any length makes two rows a level at most, a start
+    one row a level, and a pair is found once, whatever the lengths in a group.
+    Columns of a and b besides the group have different names. cell: width of
+    the finest node; it decides on speed only.
+    """
+    a0, a1, b0, b1 = (F.col(c) for c in (*a_range, *b_range))
+    near = (a0 < b1) & (a1 > b0)
+    scratch = Scratch(a.sparkSession)
+    sizes = a.select(*by, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*by, F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy(*by).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    large = scratch.keep(sizes.where(f"x > {small} or y > {small}").where("x > 0 and y > 0").select(*by), "large")
+    if not large.limit(1).count():
+        scratch.drop("large")
         return a.join(b, by).where(near)
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    both = a.withColumn("_b", span(*a_range)).join(b.withColumn("_b", span(*b_range)), [*by, "_b"])
-    first = F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width)
-    return both.where(near & (F.col("_b") == first)).drop("_b")
+
+    out = a.join(large, by, "left_anti").join(b, by).where(near)
+    at = lambda c: F.floor(c / cell)
+    lengths = lambda df, lo, hi: df.select((at(hi) - at(lo) + 1).alias("n"))
+    hot_a, hot_b = a.join(large, by, "left_semi"), b.join(large, by, "left_semi")
+    top = lengths(hot_a, a0, a1).unionByName(lengths(hot_b, b0, b1)).agg(F.coalesce(F.floor(F.log2(F.greatest(F.lit(1), F.max("n").cast("double")))), F.lit(0)).cast("int")).scalar()
+
+    def starts(df, c):
+        return df.withColumn("_top", top).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top")))).withColumn("_node", F.call_function("shiftright", at(c).cast("long"), F.col("_level"))).drop("_top")
+
+    def ranges(df, lo, hi):
+        return df.where(lo <= hi).withColumn("_top", top).withColumn("_n", F.explode(_dyadic(at(lo), at(hi), F.col("_top")))).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_top", "_n")
+
+    on = [*by, "_level", "_node"]
+    first = starts(hot_a, a0).join(ranges(hot_b, b0, b1), on).where(near & (b0 <= a0))
+    second = ranges(hot_a, a0, a1).join(starts(hot_b, b0), on).where(near & (a0 < b0))
+    return out.unionByName(first.drop("_level", "_node")).unionByName(second.drop("_level", "_node"))
 
 
 def cut_map(df: DataFrame, by: list[str], start: str, end: str, duration: str, bins: int = 100) -> DataFrame:
@@ -133,9 +175,9 @@ def frame_chunks(frames: DataFrame, by: list[str], frame: str, total: int, pad:
     w = Window.partitionBy(*by).orderBy(frame)
     runs = islands(frames, by, [frame], F.col(frame) - F.lag(frame).over(w) > gap).groupBy(*by, "island").agg(F.min(frame).alias("a"), F.max(frame).alias("b"))
     runs = runs.select(*by, "island", F.greatest(F.lit(0), F.col("a") - pad).alias("a"), F.least(F.lit(total - 1), F.col("b") + pad).alias("b"))
-    # a chunk that isn't its run's last has the full length, so chunk i starts at a + i * (length - overlap), but for the length rule
+    # a chunk that isn't its run's last has the full length, so chunk i starts at a + i * step
     full = (length - 1) // 4 * 4 + 1
-    step = full - overlap + (1 if full == length else 1) - 1
+    step = full - overlap
     count = F.greatest(F.lit(1), F.ceil((F.col("b") - 3 - F.col("a") - full + 1) / step) + 1).cast("int")
     rows = runs.withColumn("i", F.explode(F.sequence(F.lit(0), count - 1)))
     s = F.col("a") + F.col("i") * step
@@ -162,37 +204,87 @@ def hysteresis(probs: DataFrame, by: list[str], index: str, p: str, on: float, o
     return merge_close(padded, by, "s", "e", 0, strict=False).drop("parts")
 
 
-def greedy_budget(df: DataFrame, by: list[str], score: str, length: str, key: str, most: float = 65, enough: float = 50, picks: int = 8, least_picks: int = 3, least: float = 25) -> DataFrame:
-    """Keys picked by falling score: one that would exceed most is skipped, picking stops at enough or so many picks;
-    groups with too few picks or seconds give none."""
-    item = F.struct((-F.col(score)).alias("o"), F.col(key).alias("k"), F.col(length).cast("double").alias("d"))
-    kind = dict(df.dtypes)[key]
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("done"), F.array().cast(f"array<{kind}>").alias("keys"))
+def _in_order(df: DataFrame, by: list[str], order: list[Column], f: Callable, schema: str) -> DataFrame:
+    """A fold over each group's rows in order, in a task that holds no more than a batch and the fold's state.
 
-    def step(s, x):
-        take = ~s["done"] & (s["sum"] + x["d"] <= most)
-        total = F.when(take, s["sum"] + x["d"]).otherwise(s["sum"])
-        keys = F.when(take, F.array_append(s["keys"], x["k"])).otherwise(s["keys"])
-        return F.struct(total.alias("sum"), (s["done"] | (take & ((total >= enough) | (F.size(keys) >= picks)))).alias("done"), keys.alias("keys"))
+    f gets the batches of a task, sorted by group and order, whole groups one
+    after the other; its state begins anew where the columns by change.
+    """
+    keys = [F.col(c) for c in by]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(f, schema)
 
-    out = df.groupBy(*by).agg(F.aggregate(F.sort_array(F.collect_list(item)), zero, step).alias("pick"))
-    return out.where((F.size("pick.keys") >= least_picks) & (F.col("pick.sum") >= least)).select(*by, F.explode("pick.keys").alias(key))
 
+def _groups(batch: pa.RecordBatch, width: int) -> Iterator[tuple[tuple, int, int]]:
+    """(key, first row, end) of the stretches of rows alike in the first columns."""
+    keys = list(zip(*(batch.column(i).to_pylist() for i in range(width))))
+    first = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[first]:
+            yield keys[first], first, i
+            first = i
 
-def balanced(df: DataFrame, by: list[str], key: str, cost: str, parts: int) -> DataFrame:
-    """Tasks dealt to parts, the largest first, each to the part with the least load (the first of equals): key, part, load of
-    the part before it."""
-    kind, number = dict(df.dtypes)[key], "double"
-    zero = F.struct(F.array_repeat(F.lit(0.0), parts).alias("loads"), F.array().cast(f"array<struct<{key}:{kind},part:int,before:{number}>>").alias("out"))
 
-    def step(s, x):
-        low = F.array_min(s["loads"])
-        part = (F.array_position(s["loads"], low) - 1).cast("int")
-        loads = F.transform(s["loads"], lambda v, i: F.when(i == part, v + x["c"]).otherwise(v))
-        return F.struct(loads.alias("loads"), F.array_append(s["out"], F.struct(x["k"].alias(key), part.alias("part"), low.alias("before"))).alias("out"))
+def greedy_budget(df: DataFrame, by: list[str], score: str, length: str, key: str, most: float = 65, enough: float = 50, picks: int = 8, least_picks: int = 3, least: float = 25) -> DataFrame:
+    """Keys picked by falling score (then by key and length): one that would exceed most is skipped, picking stops at enough or
+    so many picks; groups with too few picks or seconds give none. A group of any length: its state is its picks."""
+    width = len(by)
+
+    def run(batches):
+        group, total, keys, done = None, 0.0, [], False
+        schema = None
+
+        def passed(out):
+            if group is not None and len(keys) >= least_picks and total >= least:
+                out.extend((*group, k) for k in keys)
+
+        for batch in batches:
+            schema, out = batch.schema, []
+            names, lengths = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            for of, i, end in _groups(batch, width):
+                if of != group:
+                    passed(out)
+                    group, total, keys, done = of, 0.0, [], False
+                while i < end and not done:
+                    if lengths[i] is not None and total + lengths[i] <= most:
+                        total += lengths[i]
+                        keys.append(names[i])
+                        done = total >= enough or len(keys) >= picks
+                    i += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*out))], names=schema.names[: width + 1])
+        out = []
+        passed(out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*out))], names=schema.names[: width + 1])
+
+    rows = df.select(*by, key, F.col(length).cast("double").alias("_length"), F.col(score).alias("_score"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: width + 1])
+    return _in_order(rows, by, [F.desc("_score"), F.col(key), F.col("_length")], run, schema)
+
 
-    tasks = F.sort_array(F.collect_list(F.struct((-F.col(cost).cast("double")).alias("o"), F.col(key).alias("k"), F.col(cost).cast("double").alias("c"))))
-    return df.groupBy(*by).agg(F.aggregate(tasks, zero, step).alias("a")).select(*by, F.inline("a.out"))
+def balanced(df: DataFrame, by: list[str], key: str, cost: str, parts: int) -> DataFrame:
+    """Tasks dealt to parts, the largest first, each to the part with the least load (the first of equals): key, part, load of
+    the part before it. A group of any length: its state is a heap of loads."""
+    width = len(by)
+
+    def run(batches):
+        group, heap = None, []
+        for batch in batches:
+            costs, part, before = batch.column(width + 1).to_pylist(), [], []
+            for of, first, end in _groups(batch, width):
+                if of != group:
+                    group, heap = of, [(0.0, i) for i in range(parts)]
+                for c in costs[first:end]:
+                    load, at = heap[0]
+                    heapq.heapreplace(heap, (load + (c or 0.0), at))
+                    part.append(at)
+                    before.append(load)
+            columns = [batch.column(i) for i in range(width + 1)] + [pa.array(part, pa.int32()), pa.array(before, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: width + 1], "part", "before"])
+
+    rows = df.select(*by, key, F.col(cost).cast("double").alias("_cost"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: width + 1]) + ", part int, before double"
+    return _in_order(rows, by, [F.desc("_cost"), F.col(key)], run, schema)
 
 
 def support(df: DataFrame, by: list[str], frame: str, similar=None, equal: list[str] = (), reach: int = 6, least: int = 5) -> DataFrame:
@@ -200,16 +292,19 @@ def support(df: DataFrame, by: list[str], frame: str, similar=None, equal: list[
 
     Likeness by equal columns alone is a window over each group of equal rows'
     frames; a condition similar(a, b) on top is an equi-join on group, equal
-    columns and frame, from each frame to those around it.
+    columns and buckets of frames as wide as reach: a row stands in its own and
+    the next one, and a pair counts in the first that both share.
     """
     keys = [*by, *equal]
     if similar is None:
         frames = df.select(*keys, frame).distinct()
         near = Window.partitionBy(*keys).orderBy(frame).rangeBetween(-reach, reach)
         return df.join(frames.withColumn("support", F.count(F.lit(1)).over(near) - 1).where(F.col("support") >= least), [*keys, frame]).select(*df.columns, "support")
-    other = df.select(*keys, *[F.col(c).alias(f"_{c}") for c in df.columns if c not in keys])
-    near = other.withColumn(frame, F.explode(F.sequence(F.col(f"_{frame}") - reach, F.col(f"_{frame}") + reach))).where(F.col(frame) != F.col(f"_{frame}"))
-    hit = df.join(near, [*keys, frame]).where(similar(lambda c: F.col(c), lambda c: F.col(f"_{c}")))
+    rows = df.withColumn("_b", F.floor(F.col(frame) / reach)).withColumn("_at", F.explode(F.array("_b", F.col("_b") + 1)))
+    other = rows.select(*keys, "_at", *[F.col(c).alias(f"_{c}") for c in [*df.columns, "_b"] if c not in keys])
+    apart = F.abs(F.col(frame) - F.col(f"_{frame}"))
+    near = rows.join(other, [*keys, "_at"]).where((F.col("_at") == F.greatest("_b", "__b")) & (apart > 0) & (apart <= reach))
+    hit = near.where(similar(lambda c: F.col(c), lambda c: F.col(f"_{c}")))
     return hit.groupBy(*df.columns).agg(F.count_distinct(f"_{frame}").alias("support")).where(F.col("support") >= least)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import values as V
 from ..functions.scalars import half_up, local_date
 from .relational import first_of_each, upper_medians
+from .sequences import overlapping
 
 
 def admitted(log: DataFrame, by: list[str], ts: str, key: str, limit: Column) -> DataFrame:
@@ -121,7 +122,7 @@ def until_first_hit(df: DataFrame, by: list[str], position: str, hit: Column) ->
 
 def ready(segments: DataFrame, chunks: DataFrame, by: list[str], segment: str) -> DataFrame:
     """Segments (f0, f1 exclusive) all of whose overlapping chunks (s, e inclusive) are done."""
-    both = segments.join(chunks, by).where((F.col("s") <= F.col("f1") - 1) & (F.col("e") >= F.col("f0")))
+    both = overlapping(segments, chunks.withColumn("_after", F.col("e") + 1), by, ("f0", "f1"), ("s", "_after"))
     return both.groupBy(*by, segment).agg(F.bool_and(F.col("status") == "done").alias("ready"))
 
 

@@ -104,7 +104,7 @@ def cutmap_hist(spark, d):
 def interval_overlap(spark, d):
     a = spans(spark, d)
     b = a.select("g", (F.col("s") + 15).alias("s2"), (F.col("s") + 25).alias("e2")).distinct()
-    out = Q.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2"))  # an order has a few lines
+    out = Q.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2"))
     return out.select("g", *[F.col(c).cast("bigint").alias(c) for c in ("s", "e", "s2", "e2")])
 
 
