@@ -29,8 +29,8 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     return out.withColumn(rank, F.col("_before") + 1).drop("_one", "_before")
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Exclusive running totals (column -> name) in an order, within groups. Rows are dealt by ranges of groups and order, each
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Exclusive running totals (column -> name) in an order, within groups, and the groups' totals. Rows are dealt by ranges of groups and order, each
     range is added up by itself, and a row adds what its group has in the ranges before, so a hot group meets no single task."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -38,22 +38,22 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, s
     cut = Scratch(spark).keep(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     each = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{o}") for c, o in sums.items()])
-    offsets = each.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_from_{o}") for o in sums.values()])
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    of_group = [F.sum(f"_sum_{sums[c]}").over(whole).alias(o) for c, o in (totals or {}).items()]
+    offsets = each.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *of_group, *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_from_{o}") for o in sums.values()])
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{o}") for c, o in sums.items()])
     same = F.col("_range") == F.col("_r")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return cut.join(offsets, same).select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_from_{o}")).alias(o) for o in sums.values()])
+    return cut.join(offsets, same).select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_from_{o}")).alias(o) for o in sums.values()], *(totals or {}).values())
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n, below (rows of the group with less), rows (all of the group's with a value): counts combine on the map
     side, so groups cost their distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = Scratch(df.sparkSession).keep(counts, "counts")  # written, lest ranges, sums and totals each count again
-    below = running(counts, by, [F.col(value)], {"n": "below"})
-    return below.join(counts.groupBy(*by).agg(F.sum("n").alias("rows")), by)
+    return running(counts, by, [F.col(value)], {"n": "below"}, {"n": "rows"})
 
 
 def percentile_ranks(df: DataFrame, by: list[str], value: str, name: str = "pct") -> DataFrame:

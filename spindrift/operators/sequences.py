@@ -91,21 +91,23 @@ def _dyadic(lo: Column, hi: Column, top: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), top), some))
 
 
-def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], cell: float = 1.0, small: int = 64) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], cell: float = 1.0, small: int | None = 64) -> DataFrame:
     """Pairs of half-open ranges of a group that overlap; rows with a null group or end have none.
 
-    Groups of a few ranges on both sides are joined by their key. In others one
-    of two ranges holds the other's start, so a start meets ranges in the dyadic
+    Groups of a few ranges of a are joined by their key, at so many rows for each
+    range of b. In others one of two ranges holds the other's start, so a start meets ranges in the dyadic
     nodes over it: a range of any length makes two rows a level at most, a start
     one row a level, and a pair is found once, whatever the lengths in a group.
     Columns of a and b besides the group have different names. cell: width of
-    the finest node; it decides on speed only.
+    the finest node; it decides on speed only. small: None where the groups of a
+    are known to be short, as an order's lines, so that they needn't be counted.
     """
     a0, a1, b0, b1 = (F.col(c) for c in (*a_range, *b_range))
     near = (a0 < b1) & (a1 > b0)
+    if small is None:
+        return a.join(b, by).where(near)
     scratch = Scratch(a.sparkSession)
-    sizes = a.select(*by, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*by, F.lit(0).alias("x"), F.lit(1).alias("y"))).groupBy(*by).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    large = scratch.keep(sizes.where(f"x > {small} or y > {small}").where("x > 0 and y > 0").select(*by), "large")
+    large = scratch.keep(a.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select(*by), "large")
     if not large.limit(1).count():
         scratch.drop("large")
         return a.join(b, by).where(near)

@@ -104,10 +104,23 @@ def cutmap_hist(spark, d):
 def interval_overlap(spark, d):
     a = spans(spark, d)
     b = a.select("g", (F.col("s") + 15).alias("s2"), (F.col("s") + 25).alias("e2")).distinct()
-    out = Q.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2"))
+    out = Q.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2"), small=None)  # an order has seven lines at most
     return out.select("g", *[F.col(c).cast("bigint").alias(c) for c in ("s", "e", "s2", "e2")])
 
 
+@query("""
+WITH a AS (SELECT o_orderstatus AS g, o_orderkey AS i, o_orderkey * 10 AS s, o_orderkey * 10 + CASE WHEN o_custkey % 97 = 0 THEN 3000 ELSE o_custkey % 13 END AS e FROM orders),
+b AS (SELECT o_orderstatus AS g, o_orderkey AS j, o_orderkey * 10 + 5 AS s2, o_orderkey * 10 + 5 + CASE WHEN o_custkey % 89 = 0 THEN 2000 ELSE o_custkey % 11 END AS e2 FROM orders)
+SELECT a.g, i, j FROM a JOIN b ON a.g = b.g AND s < e2 AND e > s2""")
+def long_group_overlap(spark, d):
+    """Ranges of few and very long groups, some of them long: by dyadic nodes."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, d, "orders")
+    a = orders.select(F.col("o_orderstatus").alias("g"), k.alias("i"), (k * 10).alias("s"), (k * 10 + F.when(c % 97 == 0, 3000).otherwise(c % 13)).alias("e"))
+    b = orders.select(F.col("o_orderstatus").alias("g"), k.alias("j"), (k * 10 + 5).alias("s2"), (k * 10 + 5 + F.when(c % 89 == 0, 2000).otherwise(c % 11)).alias("e2"))
+    return Q.overlapping(a, b, ["g"], ("s", "e"), ("s2", "e2"), 8.0).select("g", "i", "j")
+
+
 @query(f"WITH x AS (SELECT DISTINCT l_suppkey AS g, {DAY} AS f, l_linenumber AS k FROM lineitem) SELECT a.g, a.f, a.k, count(DISTINCT b.f) AS support FROM x a JOIN x b ON a.g = b.g AND a.f <> b.f AND b.f BETWEEN a.f - 60 AND a.f + 60 AND a.k = b.k GROUP BY a.g, a.f, a.k HAVING count(DISTINCT b.f) >= 5")
 def support_count(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).alias("f"), F.col("l_linenumber").alias("k")).distinct()
