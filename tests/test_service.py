@@ -102,3 +102,33 @@ def test_writers_and_claimers_at_once(root):
     got = [w for w in won if w]
     assert len(got) == len(set(got)) == 30 and set(S.claims(root)) == set(got)
     assert S.claim(root, [f"chunk{k:02d}" for k in range(30)], "late") is None
+
+
+def test_locks_go_on_after_a_restart(spark, tmp_path):
+    import random
+
+    from spindrift.sources.scratch import Scratch
+    from spindrift.streaming import jobs
+
+    rng = random.Random(4)
+    base = 1_700_000_000_000
+    asks = [(i, "ab"[rng.randrange(2)], base + rng.randrange(20) * 1000 + i * 9_000) for i in range(60)]
+    asks.sort(key=lambda a: a[2])
+    schema = "id long, user string, ms long"
+    stamp = lambda part: spark.createDataFrame(part, schema).select("id", "user", F.timestamp_millis("ms").alias("t")).coalesce(1)
+    scratch, folder = Scratch(spark), str(tmp_path / "asks")
+    for part in (asks[:35], asks[35:]):  # the second run begins with what the first one kept
+        stamp(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("id long, user string, t timestamp").parquet(folder)
+        got = jobs.run_available(jobs.lock_grants(stream, "user", "id", "t", 30_000, "500 milliseconds"), spark, "append", scratch=scratch)
+        beats = jobs.run_available(jobs.beat_upserts(stream, "user", "t"), spark, "update", "key", scratch=Scratch(spark))
+    want = set()
+    for user in "ab":
+        free, own = 0, [a for a in asks if a[1] == user]
+        for i, _, at in own:
+            free = max(free, at)
+            if free <= max(own[-1][2], asks[-1][2] - 501):
+                want.add((user, i, at, free))
+            free += 30_000
+    assert {tuple(r) for r in got.collect()} == want and any(g > a for _, _, a, g in want)
+    assert {tuple(r) for r in beats.collect()} == {(u, max(a[2] for a in asks if a[1] == u)) for u in "ab"}
