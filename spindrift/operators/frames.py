@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import imaging as G
+from ..functions.imaging import BANDS, BAND_MIDDLE, BAND_PIXELS, BAND_REACH, COLOUR_AREA, COLOUR_HEIGHT, GLYPH_AREA, GLYPH_HEIGHT, GLYPH_WIDTH, RIM, RIM_LEVEL, RIM_OF_BLACK, RIM_OF_COLOUR, RIM_OF_WHITE, RIM_STEP, colour_planes, coloured_hues, components, dilated, rasterised  # functions travel alone, a module with its UDFs can't
 from ..sources.scratch import Scratch
 from .similarity import connected
 
@@ -55,7 +55,7 @@ class SteadyMasks:
             if other != frame and abs(other - frame) <= self.reach and len(more) and len(boxes):
                 seen += (overlaps(boxes, more) > self.overlap).any(axis=1)
         kept = boxes[seen >= self.least]
-        mask = G.rasterised([dict(zip(("x0", "y0", "x1", "y1"), map(int, b))) for b in kept], self.height, self.width) > 0
+        mask = rasterised([dict(zip(("x0", "y0", "x1", "y1"), map(int, b))) for b in kept], self.height, self.width) > 0
         self.drawn.append((frame, mask, len(kept)))
 
     def _union(self, frame: int) -> np.ndarray:
@@ -126,7 +126,7 @@ def steady_masks(frames: DataFrame, by: list[str], frame: str, boxes: str, heigh
 
 
 #: Pixels around a tile that its rims reach into, and a tile's side.
-HALO, TILE = G.RIM + 1, 256
+HALO, TILE = RIM + 1, 256
 
 
 def tiles(pictures: DataFrame, by: str, rgb: str, height: str, width: str, size: int = TILE) -> DataFrame:
@@ -177,12 +177,12 @@ def _by_tile(df: DataFrame, by: str, f, schema: str) -> DataFrame:
 
 def active_bands(tiled: DataFrame, by: str) -> DataFrame:
     """by, bands: the bands of hue with enough coloured pixels in the whole picture."""
-    counts = _by_tile(tiled, by, lambda row, area, own: [(int(hue), int(n)) for hue, n in enumerate(G.coloured_hues(area[own])) if n], "hue int, n long")
+    counts = _by_tile(tiled, by, lambda row, area, own: [(int(hue), int(n)) for hue, n in enumerate(coloured_hues(area[own])) if n], "hue int, n long")
     counts = counts.groupBy(by, "hue").agg(F.sum("n").alias("n"))
-    away = lambda b: F.pmod(F.col("hue") - (b + G.BAND_MIDDLE), F.lit(180))
-    inside = lambda b: F.least(away(b), 180 - away(b)) <= G.BAND_REACH
-    found = [F.when(F.sum(F.when(inside(b), F.col("n"))) >= G.BAND_PIXELS, b) for b in G.BANDS]
-    return counts.groupBy(by).agg(F.array_compact(F.array(*found)).alias("bands"), F.sum("n").alias("n")).where(F.col("n") >= G.BAND_PIXELS).drop("n")
+    away = lambda b: F.pmod(F.col("hue") - (b + BAND_MIDDLE), F.lit(180))
+    inside = lambda b: F.least(away(b), 180 - away(b)) <= BAND_REACH
+    found = [F.when(F.sum(F.when(inside(b), F.col("n"))) >= BAND_PIXELS, b) for b in BANDS]
+    return counts.groupBy(by).agg(F.array_compact(F.array(*found)).alias("bands"), F.sum("n").alias("n")).where(F.col("n") >= BAND_PIXELS).drop("n")
 
 
 def glyphs(tiled: DataFrame, by: str) -> DataFrame:
@@ -200,8 +200,8 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     tiled = tiled.join(bands, by, "left")
 
     def labelled(row, area):
-        planes, maps = G.colour_planes(area, row["bands"] or [])
-        return {name: G.components(mask, corners=True) for name, mask in planes.items()}, maps
+        planes, maps = colour_planes(area, row["bands"] or [])
+        return {name: components(mask, corners=True) for name, mask in planes.items()}, maps
 
     def parts(row, area, own):
         near = np.zeros(area.shape[:2], bool)  # pixels that other tiles see too
@@ -229,8 +229,8 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     of_part = lambda df: df.join(groups, [by, "plane", "id"], "left").withColumn("group", F.coalesce("group", "id"))
     whole = of_part(found.where("pixel is null")).groupBy(by, "plane", "group").agg(F.sum("n").alias("area"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     h, w = F.col("y1") - F.col("y0") + 1, F.col("x1") - F.col("x0") + 1
-    fits = F.col("area").between(*G.GLYPH_AREA) & h.between(*G.GLYPH_HEIGHT) & (w <= G.GLYPH_WIDTH)
-    fits = fits & ((F.col("plane") == "w") | ((F.col("area") >= G.COLOUR_AREA) & (h >= G.COLOUR_HEIGHT)))
+    fits = F.col("area").between(*GLYPH_AREA) & h.between(*GLYPH_HEIGHT) & (w <= GLYPH_WIDTH)
+    fits = fits & ((F.col("plane") == "w") | ((F.col("area") >= COLOUR_AREA) & (h >= COLOUR_HEIGHT)))
     whole = scratch.keep(whole.where(fits), "whole")
     every = found.select(by, "plane", "id").distinct()
     named = of_part(every).join(whole.select(by, "plane", "group"), [by, "plane", "group"], "left_semi")
@@ -246,9 +246,9 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
         for (plane, group), local in of.items():
             part = np.isin(labels[plane], local)
             ys, xs = np.nonzero(part)
-            window = tuple(slice(max(0, v.min() - G.RIM), v.max() + G.RIM + 1) for v in (ys, xs))
+            window = tuple(slice(max(0, v.min() - RIM), v.max() + RIM + 1) for v in (ys, xs))
             inside = part[window]
-            rim = G.dilated(inside, G.RIM) & ~inside & mine[window]
+            rim = dilated(inside, RIM) & ~inside & mine[window]
             inside = inside & mine[window]
             level = maps["value"][window]
             yield plane, group, int(rim.sum()), *(int(maps[m][window][rim].sum()) for m in ("dark", "white", "light")), int(level[rim].sum()), int(level[inside].sum())
@@ -256,8 +256,8 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     sums = _by_tile(tiled.join(named, [by, "tile"]), by, rims, "plane string, group long, rim long, dark long, white long, light long, outer long, inner long")
     sums = sums.groupBy(by, "plane", "group").agg(*[F.sum(c).alias(c) for c in ("rim", "dark", "white", "light", "outer", "inner")])
     share = lambda c: F.col(c) / F.col("rim")
-    rimmed = share("dark") >= G.RIM_OF_WHITE
-    stepped = (F.col("inner") / F.col("area") - share("outer") >= G.RIM_STEP) & (share("outer") < G.RIM_LEVEL)
-    ok = F.when(F.col("plane") == "w", rimmed | stepped).when(F.col("plane") == "k", share("light") >= G.RIM_OF_BLACK).otherwise(F.greatest(share("dark"), share("white")) >= G.RIM_OF_COLOUR)
+    rimmed = share("dark") >= RIM_OF_WHITE
+    stepped = (F.col("inner") / F.col("area") - share("outer") >= RIM_STEP) & (share("outer") < RIM_LEVEL)
+    ok = F.when(F.col("plane") == "w", rimmed | stepped).when(F.col("plane") == "k", share("light") >= RIM_OF_BLACK).otherwise(F.greatest(share("dark"), share("white")) >= RIM_OF_COLOUR)
     out = whole.join(sums, [by, "plane", "group"]).where((F.col("rim") > 0) & ok)
     return out.select(by, "plane", "x0", "x1", "y0", "y1", "area", F.when(F.col("plane") == "w", rimmed).otherwise(True).alias("strict"))

@@ -271,3 +271,22 @@ def settings(df: DataFrame, defaults: dict[str, float], key: str = "key", value:
     out = df.where(F.col(key).isin(*defaults)).groupBy().agg(*[F.max(F.when(F.col(key) == k, F.col(value).try_cast("double"))).alias(k) for k in defaults])
     ok = lambda k: (F.col(k) >= (low or {}).get(k, float("-inf"))) & (F.col(k) <= (high or {}).get(k, float("inf")))
     return out.select(*[F.when(ok(k), F.col(k)).otherwise(F.lit(float(d))).alias(k) for k, d in defaults.items()])
+
+
+def floored_changes(changes: DataFrame, by: list[str], order: list[Column], step: str) -> DataFrame:
+    """by, add, floor: what a group's changes do to a counter that never falls below 0: it becomes max(counter + add, floor).
+    Such summaries compose, so a view takes batches of changes one after the other without the changes before."""
+    rows = running(changes.select(*by, *_columns_of(changes, by), F.col(step).cast("long").alias("_step")), by, order, {"_step": "_before"}, {"_step": "_total"})
+    after = F.col("_before") + F.col("_step")
+    return rows.groupBy(*by).agg(F.max("_total").alias("add"), F.max(F.col("_total") - after).alias("floor"))
+
+
+def _columns_of(df: DataFrame, by: list[str]) -> list[str]:
+    return [c for c in df.columns if c not in by]
+
+
+def maintained(view: DataFrame, changes: DataFrame, by: list[str], order: list[Column], step: str, counter: str) -> DataFrame:
+    """The view (by, counter) after a batch of changes (+1, -1, ...) in order; groups that it doesn't have begin at 0."""
+    both = view.select(*by, counter).join(floored_changes(changes, by, order, step), by, "full")
+    start = F.coalesce(F.col(counter), F.lit(0))
+    return both.select(*by, F.coalesce(F.greatest(start + F.col("add"), F.col("floor")), start).cast("long").alias(counter))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import service as S
 from ..sources.scratch import Scratch
+from ..sources.service import put_once
 from ..sources.tables import append, table
 from ..streaming import jobs
 
@@ -55,7 +56,7 @@ def claimed_once(spark, d):
 
     def run(batches):
         for batch in batches:
-            won = [k for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if S.put_once(f"{root}/claims", str(k), w.encode())]
+            won = [k for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if put_once(f"{root}/claims", str(k), w.encode())]
             yield pa.RecordBatch.from_arrays([pa.array(won, pa.int64())], names=["s_suppkey"])
 
     return Scratch(spark).keep(wanted.mapInArrow(run, "s_suppkey long"), "claimed")  # claims count once, so the result is kept
