@@ -2,12 +2,13 @@
 
 Each task fills a memtable keyed by the digest of the normalised text. Rows
 that hit are verified by their bytes and folded at once. Full memtables are
-flushed as digest-sorted runs. The runs of a batch are merged by digest, with
-map-side combining, to one part of the index that keeps the smallest identifier
-of each digest, with filters sized by its rows, one a shard of the digests. A
-later batch asks the filters of each part, and only digests that may be there
-meet the part's entries. FAN parts of a level are compacted to one part of the
-next level, the smallest identifiers staying.
+flushed as digest-sorted runs. A stored table's runs are added to the index in
+a few batches; further tables are batches too. The runs of a batch are merged by
+digest, with map-side combining, to one part of the index that keeps the
+smallest identifier of each digest, with filters sized by its rows, one a shard
+of the digests. A later batch asks the filters of each part, and only digests
+that may be there meet the part's entries. FAN parts of a level are compacted to
+one part of the next level, the smallest identifiers staying.
 
 Digests that several runs hold are verified again by their bytes: a filter
 sized by the hits picks the few rows whose text travels, and grouping by
@@ -37,6 +38,8 @@ from .common import SPACE, Scratch, arrow_map, column_at, partitions, positional
 MEMTABLE_ROWS, MEMTABLE_BYTES = 20_000, 32 << 20
 #: Bits of the filter of hits for each hit, in words of 64; words at most (some 50 MB in a task), whatever the input.
 HIT_BITS, MOST_WORDS = 16, 1 << 20
+#: Batches in which a stored table's runs are added to an index: enough for a compaction and a part asked after it.
+BATCHES = 6
 #: Parts of a level that are compacted; digests of a shard, about; bits of a shard's filter for each, and hashes.
 FAN, SHARD, KEY_BITS, HASHES = 4, 100_000, 16, 4
 
@@ -191,15 +194,8 @@ class Index:
         by position), its digest, run, identifiers and number. index: digest, keep_id, group_size and the keeping run of each of
         its texts, over all batches so far. last: no batch follows, so the part isn't kept."""
         scratch, number = self.scratch, self.batches
-        id_at, text_at = column_at(docs, self.id_col), column_at(docs, self.text_col)
-        flat = positional(docs).withColumn(f"c{id_at}", F.col(f"c{id_at}").cast("long"))
-        schema = T.StructType([*flat.schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("run", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
-        runs = scratch.keep(arrow_map(flat, _flush_runs(id_at, text_at, to_arrow_schema(schema), *self.memtable, number), schema), f"runs{number}")
-        key, text = F.col(f"c{id_at}"), F.regexp_replace(F.coalesce(F.col(f"c{text_at}"), F.lit("")), SPACE, " ")
-        self.texts.append(runs.select("digest", "run", "n", key.alias("key"), text.alias("text")))
-        first = F.min(F.struct(key.isNull().alias("none"), key.alias("id"), F.col("run"))).alias("first")
-        fresh = runs.groupBy("digest").agg(first, F.sum("n").alias("size"), F.count(F.lit(1)).alias("entries"))
-        fresh = scratch.keep(fresh, f"fresh{number}")
+        runs = self._flushed(docs, number)
+        fresh = scratch.keep(self._fresh(runs, docs), f"fresh{number}")
         merged = fresh
         if self.parts:
             found = reduce(DataFrame.unionByName, [p.known(fresh) for p in self.parts])
@@ -211,6 +207,48 @@ class Index:
         self.batches += 1
         return runs, index
 
+    def fill(self, docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+        """(runs, index) of a table whose runs are flushed at once and added in batches of runs: each batch asks the parts before
+        it for what they have of its digests, and a digest's last answer counts. Bytes are verified at the end."""
+        scratch, answers = self.scratch, []
+        runs = self._flushed(docs, self.batches)
+        of = (F.shiftright("run", 24).bitwiseAND((1 << 24) - 1) + F.col("run").bitwiseAND((1 << 24) - 1)) % batches
+        for turn in range(batches):
+            fresh = scratch.keep(self._fresh(runs.where(of == turn), docs), f"fresh{self.batches}")
+            if fresh.limit(1).count():
+                merged = fresh
+                if self.parts:
+                    found = reduce(DataFrame.unionByName, [p.known(fresh) for p in self.parts])
+                    merged = scratch.keep(_merged(fresh.unionByName(found)), f"merged{self.batches}")
+                answers.append(merged.withColumn("turn", F.lit(turn)))
+                if turn < batches - 1:
+                    self._keep(fresh)
+            self.batches += 1
+        if not answers:
+            answers = [self._fresh(runs, docs).withColumn("turn", F.lit(0))]
+        last = reduce(DataFrame.unionByName, answers).groupBy("digest").agg(F.max_by(F.struct("first", "size", "entries"), "turn").alias("last")).select("digest", "last.*")
+        last = scratch.keep(last, "last")
+        for p in self.parts:
+            p.drop()
+        scratch.drop(*[f"{name}{i}" for name in ("fresh", "merged") for i in range(self.batches)])
+        return runs, self._verified(last, self.batches)
+
+    def _flushed(self, docs: DataFrame, number: int) -> DataFrame:
+        """The runs of a batch, written; their texts are kept in mind for verification."""
+        id_at, text_at = column_at(docs, self.id_col), column_at(docs, self.text_col)
+        flat = positional(docs).withColumn(f"c{id_at}", F.col(f"c{id_at}").cast("long"))
+        schema = T.StructType([*flat.schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("run", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
+        runs = self.scratch.keep(arrow_map(flat, _flush_runs(id_at, text_at, to_arrow_schema(schema), *self.memtable, number), schema), f"runs{number}")
+        text = F.regexp_replace(F.coalesce(F.col(f"c{text_at}"), F.lit("")), SPACE, " ")
+        self.texts.append(runs.select("digest", "run", "n", F.col(f"c{id_at}").alias("key"), text.alias("text")))
+        return runs
+
+    def _fresh(self, runs: DataFrame, docs: DataFrame) -> DataFrame:
+        """Entries of some runs: digest, first (the smallest identifier and its run), size, entries (runs that hold it)."""
+        key = F.col(f"c{column_at(docs, self.id_col)}")
+        first = F.min(F.struct(key.isNull().alias("none"), key.alias("id"), F.col("run"))).alias("first")
+        return runs.groupBy("digest").agg(first, F.sum("n").alias("size"), F.count(F.lit(1)).alias("entries"))
+
     def _keep(self, fresh: DataFrame) -> None:
         """A new part of level 0; FAN parts of a level become one of the next."""
         self.parts.append(Part(fresh, self.scratch, f"part{self.batches}", 0))
@@ -268,12 +306,12 @@ def grouped(runs: DataFrame, index: DataFrame, text_at: int) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **memtable) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     index = Index(Scratch(docs.sparkSession), id_col, text_col, **memtable)
-    return grouped(*index.add(docs.select(id_col, text_col), last=True), 1)
+    return grouped(*index.fill(docs.select(id_col, text_col)), 1)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **memtable) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, the one with the smallest identifier."""
-    runs, found = Index(Scratch(docs.sparkSession), id_col, text_col, **memtable).add(docs, last=True)
+    runs, found = Index(Scratch(docs.sparkSession), id_col, text_col, **memtable).fill(docs)
     flat = [f"c{i}" for i in range(len(docs.columns))]
     kept = _labelled(runs, found, column_at(docs, text_col), flat).where((F.col("run") == F.col("keep_run")) & F.col(f"c{column_at(docs, id_col)}").eqNullSafe(F.col("keep_id")))
     out = kept.select(*flat).toDF(*docs.columns)

@@ -104,6 +104,19 @@ def test_exact_index_takes_batches(spark, monkeypatch):
     assert part.known(unknown).count() == 0 and part.known(part.entries).count() == part.entries.count()
 
 
+def test_exact_query_goes_through_the_index(docs, rows, monkeypatch):
+    """The query's batches find what they share in the index's parts: without their answers groups fall apart."""
+    levels = []
+    keep = exact_dedup.Index._keep
+    monkeypatch.setattr(exact_dedup.Index, "_keep", lambda self, fresh: (keep(self, fresh), levels.append([p.level for p in self.parts])))
+    sizes = Counter(normal(t) for _, t, *_ in rows)
+    got = exact_dedup.exact_groups(docs.repartition(9), memtable_rows=2).collect()
+    assert Counter(r.group_size for r in got) == Counter(sizes[normal(t)] for _, t, *_ in rows) and [1] in levels
+    monkeypatch.setattr(exact_dedup.Part, "known", lambda self, digests: self.entries.limit(0))
+    got = exact_dedup.exact_groups(docs.repartition(9), memtable_rows=2).collect()
+    assert Counter(r.group_size for r in got) != Counter(sizes[normal(t)] for _, t, *_ in rows)
+
+
 def test_exact_keeps_columns(docs, rows, empty):
     got = exact_dedup.drop_exact_copies(docs)
     assert got.columns == docs.columns and got.count() == len({normal(t) for _, t, *_ in rows})
