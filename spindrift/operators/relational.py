@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.scratch import Scratch
@@ -56,10 +60,62 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return running(counts, by, [F.col(value)], {"n": "below"}, {"n": "rows"})
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; nulls and NaNs equal their like."""
+    new, old = column.slice(1), column.slice(0, max(0, len(column) - 1))
+    differ = pc.fill_null(pc.not_equal(new, old), False)
+    differ = pc.or_(differ, pc.xor(pc.is_null(new), pc.is_null(old)))
+    if pa.types.is_floating(column.type):
+        both = pc.and_(pc.fill_null(pc.is_nan(new), False), pc.fill_null(pc.is_nan(old), False))
+        differ = pc.and_(differ, pc.invert(both))
+    return differ.to_numpy(zero_copy_only=False)
+
+
 def percentile_ranks(df: DataFrame, by: list[str], value: str, name: str = "pct") -> DataFrame:
-    """Share of a group's values that are no larger, ties included."""
-    found = value_counts(df, by, value).select(*by, value, ((F.col("below") + F.col("n")) / F.col("rows")).alias(name))
-    return df.join(found, [*by, value])
+    """Share of a group's values that are no larger, ties included; rows without a value are left out.
+
+    Rows cross one shuffle, by ranges of group and falling value; a random number
+    deals out values that many rows have. Each range notes where a row's ties
+    begin, and what the ranges before hold of its first group and value is added
+    from one row a range and group.
+    """
+    scratch, width = Scratch(df.sparkSession), len(by)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(value).alias("_v"), *df.columns)
+    keys = [f"_k{i}" for i in range(width)]
+    order = [*[F.col(k) for k in keys], F.desc("_v")]
+    cut = rows.withColumn("_salt", F.rand(7)).repartitionByRange(n, *order, "_salt").sortWithinPartitions(*order).drop("_salt").withColumn("_part", F.spark_partition_id())
+
+    def run(batches):
+        at, first, last = 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = [pa.concat_arrays([x, batch.column(i).slice(0, 1)]) for i, x in enumerate(last)] if last else []
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([_changes(batch.column(i)) for i in range(width + 1)])
+            new[0] = not head or any(_changes(c)[0] for c in head)
+            here = at + np.arange(batch.num_rows)
+            begin = np.maximum.accumulate(np.where(new, here, first))
+            at, first, last = at + batch.num_rows, int(begin[-1]), [batch.column(i).slice(batch.num_rows - 1) for i in range(width + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(here), pa.array(begin)], names=[*batch.schema.names, "_at", "_first"])
+
+    cut = scratch.keep(cut.mapInArrow(run, T.StructType([*cut.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_first", T.LongType())])), "ranges")
+    each = cut.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_start"), F.min_by(F.struct("_v"), "_at").alias("_top"), F.max_by(F.struct("_v", "_first"), "_at").alias("_low"))
+    of_group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("_n").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a value that goes on from the range before: its ties began where that range's last ones did
+    goes_on = F.coalesce(F.lag("_low._v").over(of_group.orderBy("_part")) == F.col("_top._v"), F.lit(False))
+    each = each.select("*", before.alias("_before"), F.sum("_n").over(of_group).alias("_total"), goes_on.alias("_on"))
+    inherits = F.col("_on") & (F.col("_low._first") == F.col("_start"))
+    own = F.when(~inherits, F.col("_before") + F.col("_low._first") - F.col("_start"))
+    above = F.last(own, ignorenulls=True).over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_of{k}") for k in keys], "_start", "_before", "_total", F.when(F.col("_on"), above).alias("_above"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{k}"))
+    larger = F.coalesce(F.when(F.col("_first") == F.col("_start"), F.col("_above")), F.col("_before") + F.col("_first") - F.col("_start"))
+    return cut.join(each, same).select(*df.columns, ((F.col("_total") - larger) / F.col("_total")).alias(name))
 
 
 def upper_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -69,8 +125,15 @@ def upper_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return found.select(*by, F.col(value).alias("median"), F.col("rows").alias("n"))
 
 
+#: Rows up to a page's end that one task may number.
+DEEP = 100_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of an order, with ranks. Reads no more than the rows up to the page's end."""
+    """One page of an order, with ranks: a top-n up to the page's end, or for a deep page distributed ranks."""
+    if number * size > DEEP:
+        rows = ranked(df, order)
+        return rows.where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))
     first = df.orderBy(*order).limit(number * size)
     w = Window.orderBy(*order)
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > (number - 1) * size)
@@ -125,19 +188,19 @@ def term_scores(found: DataFrame, term: str, approved: Column, faceless: Column)
 
 def explore_exploit(terms: DataFrame, scores: DataFrame, term: str, order: str, day: int, budget: int = 16, share: float = 0.8) -> DataFrame:
     """A day's terms: the best of the tried ones for a share of the budget, untried ones in turn by day for the rest,
-    then whatever is left, tried ones first. terms is a list of fixed length in an order."""
-    all_terms = terms.join(scores.select(term, "score"), term, "left")
-    tried = F.col("score").isNotNull()
-    w = Window.partitionBy(tried).orderBy(F.col("score").desc_nulls_last(), order)
-    place = all_terms.withColumn("tried", tried).withColumn("i", F.row_number().over(w) - 1)
-    n = place.agg(F.count_if("tried").alias("t"), F.count_if(~F.col("tried")).alias("u")).first()
-    exploit = min(n["t"], int(budget * share + 0.5))
-    explore = min(budget - exploit, n["u"])
-    turn = F.pmod(F.col("i") - F.lit(day), F.lit(max(1, n["u"])))
-    group = F.when(F.col("tried") & (F.col("i") < exploit), 0).when(~F.col("tried") & (turn < explore), 1).when(F.col("tried"), 2).otherwise(3)
-    at = F.when(group == 1, turn).otherwise(F.col("i"))
-    out = place.select(term, "score", group.alias("step"), at.alias("at"))
-    return out.orderBy("step", "at").limit(budget)
+    then whatever is left, tried ones first."""
+    every = terms.join(scores.select(term, "score"), term, "left")
+    tried, untried = every.where("score is not null"), every.where("score is null")
+    size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    exploit = F.least(size(tried), F.lit(int(budget * share + 0.5)))
+    # no more of the tried ones can come in than the budget; of the untried ones the day decides, so all are numbered
+    best = tried.orderBy(F.col("score").desc(), order).limit(budget).withColumn("i", F.row_number().over(Window.orderBy(F.col("score").desc(), order)) - 1)
+    best = best.select(term, "score", F.when(F.col("i") < exploit, 0).otherwise(2).alias("step"), F.col("i").cast("long").alias("at"))
+    n = size(untried)
+    rest = ranked(untried, [F.col(order)], "i").withColumn("i", F.col("i") - 1).withColumn("turn", F.pmod(F.col("i") - day, F.greatest(F.lit(1), n)))
+    due = F.col("turn") < F.least(F.lit(budget) - exploit, n)
+    rest = rest.select(term, "score", F.when(due, 1).otherwise(3).alias("step"), F.when(due, F.col("turn")).otherwise(F.col("i")).alias("at"))
+    return best.unionByName(rest).orderBy("step", "at").limit(budget)
 
 
 def domain_counts(df: DataFrame, c: Column, domain: list[str], default: str) -> DataFrame:

@@ -109,9 +109,9 @@ def zone_of_boxes(spark, d):
     return Q.in_zones(boxes, zones, ["g"]).select("id", "zone")
 
 
-@query("SELECT p_partkey, frame::BIGINT AS frame FROM part, unnest(range(greatest(0, floor((p_size - 0.25) * 10)::BIGINT), ceil((p_size + 1 + 0.25) * 10)::BIGINT + 1)) r(frame) WHERE p_size < 10")
+@query("SELECT p_partkey, frame::BIGINT AS frame FROM part, unnest(range(greatest(0, floor((p_size - 0.25) * 10)::BIGINT), ceil((p_size + 1 + 0.25) * 10)::BIGINT + 1)) r(frame)")
 def masked_frames(spark, d):
-    rects = table(spark, d, "part").where("p_size < 10").select("p_partkey", F.col("p_size").cast("double").alias("start"), (F.col("p_size") + 1).cast("double").alias("end"))
+    rects = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("start"), (F.col("p_size") + 1).cast("double").alias("end"))
     return Q.time_masks(rects, ["p_partkey"], 10.0).select("p_partkey", "frame")
 
 

@@ -309,12 +309,12 @@ def media_metadata(spark, d):
 
 
 @query("""SELECT p_partkey AS clip, (f * 2)::INT AS frame, r AS region, (8 * 4 * f * 2 + y0 * 8 + x0 + p_partkey % 7)::INT % 251 AS first, (h * w)::INT AS bytes
-FROM part, range(0, 3) t(f), (VALUES (0, 0, 0, 4, 2), (1, 2, 1, 3, 3)) z(r, x0, y0, w, h) WHERE p_size = 7""")
+FROM part, range(0, 3) t(f), (VALUES (0, 0, 0, 4, 2), (1, 2, 1, 3, 3)) z(r, x0, y0, w, h)""")
 def frame_regions(spark, d):
     """Raw frames of 8 x 4 pixels, every second one of 6, two regions of each from one read."""
     k = F.col("p_partkey")
     pixels = F.transform(F.sequence(F.lit(0), F.lit(8 * 4 * 6 - 1)), lambda i: F.lpad(F.hex((i + k % 7) % 251), 2, "0"))
-    clips = table(spark, d, "part").where("p_size = 7").select(k.alias("clip"), F.unhex(F.array_join(pixels, "")).alias("raw"))
+    clips = table(spark, d, "part").select(k.alias("clip"), F.unhex(F.array_join(pixels, "")).alias("raw"))
     frames = feeds.frames(clips, "clip", "raw", 8, 4, every=2)
     out = feeds.regions(frames, 8, {0: (0, 0, 4, 2), 1: (2, 1, 3, 3)})
     return out.select("clip", "frame", "region", F.conv(F.hex(F.substring("pixels", 1, 1)), 16, 10).cast("int").alias("first"), F.length("pixels").alias("bytes"))

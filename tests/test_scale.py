@@ -117,3 +117,44 @@ def test_support_meets_near_frames_only(spark):
         if n >= 5:
             want.add((i, n))
     assert got == want and want
+
+
+def test_deep_pages_and_changes(spark, monkeypatch):
+    from spindrift.operators import relational as R
+
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 7 % 100).alias("v"))
+    order = [F.desc("v"), F.col("k")]
+    shallow = [tuple(r) for r in R.page(df, order, 7, 40).orderBy("rank").collect()]
+    monkeypatch.setattr(R, "DEEP", 10)
+    assert [tuple(r) for r in R.page(df, order, 7, 40).orderBy("rank").collect()] == shallow and len(shallow) == 40
+    rng = random.Random(9)
+    steps = [(rng.randrange(4), i, rng.choice([1, -1, -1, 0])) for i in range(300)]
+    view, want = spark.createDataFrame([(0, 5), (9, 2)], "g int, n long"), {0: 5, 9: 2}
+    for i, part in enumerate((steps[:140], steps[140:150], steps[150:])):
+        view = R.maintained(view, spark.createDataFrame(part, "g int, at int, step int").repartition(3), ["g"], [F.col("at")], "step", "n")
+        for g, _, s in part:
+            want[g] = max(0, want.get(g, 0) + s)
+    assert {r.g: r.n for r in view.collect()} == want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_percentile_ranks_with_long_ties(spark, parts):
+    from spindrift.operators import relational as R
+
+    rng = random.Random(parts)
+    rows = [(g, i, v) for i in range(900) for g, v in [(rng.choice([1, 1, 1, 2, None]), rng.choice([5.0, 5.0, 5.0, float(rng.randrange(40)), None, float("nan")]))]]
+    df = spark.createDataFrame(rows, "g int, id int, v double").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.id: r.pct for r in R.percentile_ranks(df, ["g"], "v").collect()}
+        one = {r.id: r.pct for r in R.percentile_ranks(df.select("id", F.lit(5.0).alias("v")), [], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    key = lambda v: (v != v, 0.0 if v != v else v)
+    of = defaultdict(list)
+    for g, _, v in rows:
+        if v is not None:
+            of[g].append(key(v))
+    assert got == {i: sum(k <= key(v) for k in of[g]) / len(of[g]) for g, i, v in rows if v is not None}
+    assert set(one.values()) == {1.0} and len(one) == 900
