@@ -433,8 +433,9 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every string of SIZE bytes by its hash (64 bits), on texts in hexadecimal.
 ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-w AS (SELECT r, s, hash(substr(h, 2 * s + 1, {2 * SIZE})) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {SIZE - 1})) AS s FROM d WHERE len(h) >= {2 * SIZE})),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+c AS MATERIALIZED (SELECT r, s, substr(h, 2 * s + 1, {2 * (511 + SIZE)}) AS part FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {SIZE - 1}, 512)) AS s FROM d WHERE len(h) >= {2 * SIZE})),
+w AS MATERIALIZED (SELECT r, s + k AS s, hash(substr(part, 2 * k + 1, {2 * SIZE})) AS m FROM (SELECT r, s, part, unnest(range(0, len(part) // 2 - {SIZE - 1})) AS k FROM c)),
 f AS (SELECT r, s FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
 g AS (SELECT r, s, sum(CASE WHEN s > last + {SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS k
       FROM (SELECT r, s, coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), s) AS last FROM f)),
