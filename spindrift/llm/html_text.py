@@ -13,12 +13,13 @@ The wrapper's slots then choose the text. Over a host's distinct pages each
 slot has its words and whether its text ever varies. Slots in elements that
 aren't the article by their tag (nav, aside, footer, form, ...) are out. Where
 the wrapper has slots in an article or main element, the others are out. A
-container whose class names a side matter (ad, comments, ...) is out unless it
-holds half of the words that are left: the names hint, the words decide. A slot
+container named as comments, an advert or a notice on cookies is out; one whose
+class names another side matter (social, related, ...) is out unless it holds
+half of the words that are left: the names hint, the words decide. A slot
 that is neither optional nor repeated and has the same text on all pages is the
 template's, from FIXED_PAGES distinct pages on (within an article element, from
 FIXED_ARTICLES on). A page that would be left without text keeps its region's,
-and one without a region all texts that aren't out by their tag.
+and one of another layout, without a region of the host's, its own.
 
 White space is what Python's str.split() takes for it, no-break and ideographic
 spaces included. Elements that aren't rendered (script, style, template, hidden
@@ -62,6 +63,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HINTS = set("""ad ads advert advertisement adsense sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead site-header page-header footer site-footer
 sidebar side-bar cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices newsletter subscribe signup popup modal overlay share sharing share-buttons social-share related
 related-posts related-articles recommended comment comments comment-list comments-area commentlist disqus_thread replies respond widget toolbar pagination pager login search skip-link tag-cloud""".split())
+#: Those of them that never hold the article: reader comments, adverts, notices on cookies.
+SIDE = set("""ad ads advert advertisement adsense sponsored cookie cookies cookie-notice cookie-banner cookie-consent gdpr
+comment comments comment-list comments-area commentlist disqus_thread replies respond""".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Streams that meet in a task; places of a stream beyond which its order is given up.
@@ -72,14 +76,37 @@ FIXED_PAGES, FIXED_ARTICLES = 3, 20
 
 def label(tag: str, attributes: str) -> tuple[str, bool]:
     """(an element's name in a place, whether it is hidden). The name has the first class without digits; ~ marks a role that
-    isn't the article's, ! a hint."""
+    isn't the article's, ! a hint, !! one that needs no other evidence."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = found.get("class", "").split()
     shown = next((n for n in names if re.fullmatch(r"[A-Za-z_-]{1,40}", n)), "")
-    hint = tag not in ("html", "body", "article", "main") and any(n.lower() in HINTS for n in [*names, found.get("id", "")])
-    hint |= tag in ("article", "main") and any(n.lower() in ("comment", "comments") for n in names)
-    unseen = tag in UNSEEN or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
-    return tag + (f".{shown}" if shown else "") + "~" * (found.get("role", "").lower() in ROLES) + "!" * hint, unseen
+    own = {n.lower() for n in [*names, found.get("id", "")]}
+    hint = bool(own & HINTS) + bool(own & SIDE) if tag not in ("html", "body", "article", "main") else 2 * bool(own & {"comment", "comments"})
+    return tag + (f".{shown}" if shown else "") + "~" * (found.get("role", "").lower() in ROLES) + "!" * hint, tag in UNSEEN or hidden(found)
+
+
+def hidden(found: dict[str, str]) -> bool:
+    """Whether an element with these attributes is hidden."""
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
+
+
+def end_of_hidden(page: str, at: int, tag: str) -> int:
+    """Where an element ends that holds no containers and begins before at: at its closing tag, or if it is a block at the next
+    block or the end of a container."""
+    depth = 1
+    for m in TAG.finditer(page, at):
+        if m[2] is None:
+            continue
+        other, closing = m[2].lower(), bool(m[1])
+        if other == tag and closing:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif tag in BLOCKS and (other in BLOCKS and not closing or other in CONTAINERS and closing):
+            return m.start()
+        elif other == tag and not (m[3] or "").rstrip().endswith("/"):
+            depth += 1
+    return len(page)
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -110,6 +137,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag not in CONTAINERS and not closing and tag not in VOID and m[3] and ("hidden" in m[3].lower() or "none" in m[3].lower()):
+            if hidden({a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])}):
+                if tag in BLOCKS:
+                    ended()
+                    block = ""
+                at = end_of_hidden(page, at, tag)
+                continue
         if tag not in BLOCKS:
             continue
         ended()
@@ -157,6 +191,11 @@ def hinted(place: str) -> str | None:
     return next(("/".join(names[: i + 1]) for i, n in enumerate(names) if n.endswith("!")), None)
 
 
+def beside(place: str) -> bool:
+    """Whether a container around the place is a side matter whatever it holds."""
+    return any(n.endswith("!!") for n in parts(place))
+
+
 def compact(items: list[list]) -> list[list]:
     """Runs of optional items in which a place comes again, as one repeated group of places any of which may be missing."""
     out: list[list] = []
@@ -293,6 +332,7 @@ def chosen(wrapper: list[list], facts: dict[str, tuple[int, int, bool]]) -> tupl
     slots = list(dict.fromkeys(p for group, _, _ in wrapper for p in group))
     region = [p for p in slots if not aside(p)]
     region = [p for p in region if in_article(p)] or region
+    region = [p for p in region if not beside(p)] or region
     words = lambda places: sum(facts[p][1] for p in places if p in facts)
     whole = words(region)
     side: dict[str, list[str]] = {}
@@ -332,12 +372,16 @@ def learned(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def main_text(page: str, main: set, region: set) -> str:
-    """A page's text by its host's wrapper: what fills the main slots, else the region's, else all that isn't out by its tag."""
+    """A page's text by its host's wrapper: what fills the main slots, else the region's, else its own region's."""
     found = [(code(place), place, text) for place, text in blocks(page)]
     for slots in (main, region):
         if inside := [text for c, _, text in found if c in slots]:
             return "\n\n".join(inside)
-    return "\n\n".join(text for _, place, text in found if not aside(place))
+    # a page of another layout: its own region, without what is named as a side matter if something is left
+    own = [(place, text) for _, place, text in found if not aside(place)]
+    for better in (in_article, lambda place: not beside(place), lambda place: hinted(place) is None):
+        own = [x for x in own if better(x[0])] or own
+    return "\n\n".join(text for _, text in own)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -232,3 +232,20 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in list(root) if any(x != a or x != b for a, b in links if x in (a, b) and a != b)}
+
+
+def test_comments_are_out_whatever_their_share(spark):
+    comments = "".join(f"<p>Reader {k} says a lot about this and that, and more than the article itself does." for k in range(6))
+    pages = [f"<body><article><h1>Title {i}</h1><p>Short text {i}.</p><section class='comments'>{comments}<p>Reply {i}</section><div class='ad'>Buy {i}</div></article>" for i in range(5)]
+    assert extracted(spark, pages) == [f"Title {i}\n\nShort text {i}." for i in range(5)] == by_wrapper(pages)
+
+
+def test_page_of_another_layout(spark):
+    pages = [f"<body><article><h1>Title {i}</h1><p>Text {i}.</p></article>" for i in range(5)]
+    other = "<body><div class='menu'><p>Home</p><p>About</p></div><div class='cookie-notice'>We use cookies</div><div><p>Old layout text.</p></div>"
+    assert extracted(spark, [*pages, other])[-1] == "Old layout text."
+
+
+def test_hidden_inline_and_blocks():
+    page = "<div><p>Seen <span hidden>not <span>this</span> one</span>text<p style='display: none'>Gone<p>Next <b aria-hidden='true'>no</b>one</p><li hidden>Item</li><p hidden>Open</div><p>Last <i class='hidden'>word</i>"
+    assert [t for _, t in html_text.blocks(page)] == ["Seen text", "Next one", "Last word"]
