@@ -5,6 +5,7 @@ from . import alignment, bpe, exact_dedup, html_text, lm, minhash, mixing, prefi
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_embedding_dedup": rp_forest.op2_embedding_dedup,
+    "planted_vectors": rp_forest.planted_vectors,
     "op3_bpe": bpe.op3_bpe,
     "op4_near_dedup": minhash.op4_near_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
@@ -21,6 +22,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_embedding_dedup": rp_forest.ORACLE_SQL,
+    "planted_vectors": rp_forest.PLANTED_SQL,
     "op4_near_dedup": minhash.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,

@@ -384,3 +384,23 @@ c AS (SELECT vec_id AS id, vec_id AS to_id FROM e UNION SELECT c.id, l.b FROM c
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
 FROM e JOIN (SELECT id, min(to_id) AS component_id FROM c GROUP BY id) m ON m.id = e.vec_id
 """
+
+
+#: Copies of every fourth vector, moved a little in each number, so that there are links to find.
+COPIES, EVERY = 3, 4
+MOVED = "((vec_id * 31 + i * 17 + c * 7) % 11 - 5) * 0.005"
+
+
+def planted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the table and moved copies of every fourth, compared like op2_embedding_dedup's."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    copies = vectors.where(F.col("vec_id") % EVERY == 0).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    moved = F.expr(f"transform(embedding, (x, i) -> x + {MOVED.replace('0.005', '0.005D')})")
+    out = vector_groups(vectors.unionByName(copies.select((F.col("vec_id") + F.col("c") * 10_000_000).alias("vec_id"), moved.alias("embedding"))), Scratch(spark))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+PLANTED_SQL = ORACLE_SQL.replace("FROM embeddings)", f"""FROM (
+    SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings
+    UNION ALL SELECT vec_id + c * 10000000, list_transform(embedding::DOUBLE[], lambda x, k: x + {MOVED.replace(' i ', ' (k - 1) ').replace('0.005', '0.005::DOUBLE')})
+    FROM embeddings, unnest(range(1, {COPIES + 1})) t(c) WHERE vec_id % {EVERY} = 0))""")

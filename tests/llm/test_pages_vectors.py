@@ -249,3 +249,18 @@ def test_page_of_another_layout(spark):
 def test_hidden_inline_and_blocks():
     page = "<div><p>Seen <span hidden>not <span>this</span> one</span>text<p style='display: none'>Gone<p>Next <b aria-hidden='true'>no</b>one</p><li hidden>Item</li><p hidden>Open</div><p>Last <i class='hidden'>word</i>"
     assert [t for _, t in html_text.blocks(page)] == ["Seen text", "Next one", "Last word"]
+
+
+def test_planted_vectors_have_links(spark):
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    want = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({rp_forest.PLANTED_SQL})").fetchall())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rp_forest.planted_vectors(spark, folder).collect())
+    assert got == want and sum(n for _, n, *_ in want) > len(want) / 2
