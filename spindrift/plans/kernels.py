@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import external as E
 from ..functions import imaging as G
+from ..functions.external import polled
 from ..functions.imaging import drawn_mask, rasterised, saturation, static_pattern  # functions travel alone, a module with its UDFs can't
 from ..operators import relational as R
 from ..operators import sequences as Q
@@ -178,7 +179,7 @@ def transcribed_lines(spark, d):
             asked[job] = asked.get(job, 0) + 1
             return ("completed", job) if asked[job] > 1 else ("processing", None)
 
-        return E.polled(lambda recording: recording, state, pause=0.0)
+        return polled(lambda recording: recording, state, pause=0.0)
 
     tokens = E.asked(recordings, F.col("recording"), lambda prompts: transcriber()(prompts))
     kind = "array<struct<turn: long, speaker: string, start_ms: long, end_ms: long, text: string>>"
