@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.fs as pf
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ..sources import service as S
 from ..sources.scratch import Scratch
-from ..sources.service import put_once
-from ..sources.tables import append, table
+from ..sources.service import opened, put_once
+from ..sources.tables import append, paged_source, table
 from ..streaming import jobs
 
 QUERIES: dict = {}
@@ -77,3 +79,27 @@ def stream_locks(spark, d):
 @query("SELECT user_id::VARCHAR AS key, max(epoch_us(ts) // 1000) AS at_ms FROM events GROUP BY user_id")
 def stream_heartbeats(spark, d):
     return jobs.run_available(jobs.beat_upserts(streamed(spark, d, "events"), "user_id", "ts"), spark, "update", "key").select("key", "at_ms")
+
+
+@query("""
+SELECT c_nationkey::VARCHAR AS key, c_custkey, c_acctbal::DOUBLE AS c_acctbal FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 20""")
+def token_paged_rows(spark, d):
+    """Customers of a service that gives ten a page and a token for the next: two pages of each nation."""
+    root = Scratch(spark).path("pages")
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.col("c_nationkey").alias("key"))
+    rows.repartition("key").sortWithinPartitions("key", "c_custkey").write.option("maxRecordsPerFile", 10).partitionBy("key").parquet(root)
+
+    def fetch(key, token):
+        fs, path = opened(root)
+        names = sorted(f.path for f in fs.get_file_info(pf.FileSelector(f"{path}/key={key}", allow_not_found=True)) if f.path.endswith(".parquet"))
+        at = int(token or 0)
+        if at >= len(names):
+            return [], None
+        with fs.open_input_file(names[at]) as file:
+            page = pq.read_table(file, columns=["c_custkey", "c_acctbal"])
+        return list(zip(*(c.to_pylist() for c in page.columns))), str(at + 1) if at + 1 < len(names) else None
+
+    keys = [str(r[0]) for r in table(spark, d, "nation").select("n_nationkey").collect()]  # 25 nations
+    spark.dataSource.register(paged_source("customer_pages", "key string, c_custkey long, c_acctbal double", fetch, keys, 2))
+    return spark.read.format("customer_pages").load()
