@@ -50,7 +50,7 @@ def test_keep_first(spark):
     prints = near_prints(rng, 40, 14)
     prints += prints[10:30] * 3
     rng.shuffle(prints)
-    rows = [(i % 3, i, h, "x") for i, h in enumerate(prints)] + [(1, 1000 + i, None, "y") for i in range(3)]
+    rows = [(i % 3 or None, i, h, "x") for i, h in enumerate(prints)] + [(1, 1000 + i, None, "y") for i in range(3)]
     got = {(r.g, r.id) for r in M.keep_first(spark.createDataFrame(rows, "g int, id long, h long, other string"), ["g"], "id", "h").collect()}
     kept = defaultdict(list)
     for g, i, h, _ in rows:
