@@ -95,9 +95,10 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, s
     """Pairs of half-open ranges of a group that overlap; rows with a null group or end have none.
 
     Groups of a few ranges of a are joined by their key, at so many rows for each
-    range of b. In others one of two ranges holds the other's start, so a start meets ranges in the dyadic
-    nodes over it: a range of any length makes two rows a level at most, a start
-    one row a level, and a pair is found once, whatever the lengths in a group.
+    range of b. In others one of two ranges holds the other's start, so a start
+    meets ranges in the dyadic nodes over it: a range of any length makes two rows
+    a level at most, a start one row a level, and a pair is found once, whatever
+    the lengths in a group.
     Columns of a and b besides the group have different names. cell: width of
     the finest node; it decides on speed only. small: None where the groups of a
     are known to be short, as an order's lines, so that they needn't be counted.
