@@ -81,3 +81,16 @@ def test_array_decides(spark, monkeypatch):
 def test_dedup_of_nothing(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r)[:4] for r in suffix_dedup.dedup(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()] == [(1, 0, 0, 0), (2, 0, 0, 0)]
+
+
+def test_passages_go_by_bytes_not_by_words(spark):
+    """51 words that repeat stay where they have fewer than 400 bytes, and go as a whole from 400 on."""
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"{rng.getrandbits(40):010x}" for _ in range(n))
+    words = " ".join(f"{rng.getrandbits(24):06x}" for _ in range(51))
+    short, enough = words[:356], words + "." * 44
+    assert len(short.split()) > 50 and len(enough) == 400
+    rows = [(i, f"{chr(97 + i)}{own(30)} |{p}| {own(30)}{chr(97 + i)}") for i, p in enumerate([short, short, enough, enough])]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()}
+    assert [got[i].n_removed for i in range(4)] == [0, 0, 404, 404]
+    assert [bytes(got[i].kept).decode() for i in range(4)] == [rows[0][1], rows[1][1], *(t.replace(f" |{enough}| ", "") for _, t in rows[2:])]
