@@ -46,6 +46,8 @@ FREQUENT = 1 << 19
 NOISE, STEP_TOKENS, RATE, ROUNDS = 32, 1024, 0.05, 1
 #: Tokens that are scored at once.
 SCORED = 1 << 17
+#: Logits that are held at once.
+LOGITS = 1 << 16
 HELD_OUT, FOLDS = 1, 5
 
 
@@ -58,6 +60,18 @@ def grown(tokens: int) -> int:
     return min(MOST, max(LEAST, 1 << round(np.log2(max(1, tokens)) / 2)))
 
 
+class Places(dict):
+    """word -> place in a list; a word outside it has -1 and is noted."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.missed.append(word)
+        return -1
+
+
 class Classes:
     """Runs of entries by falling frequency; the place before a beginning is never predicted and has no class."""
 
@@ -84,19 +98,23 @@ def start(unigram: np.ndarray, classes: Classes, dimensions: int = DIMENSIONS) -
 
 
 class Sums:
-    """Sums of rows by place, in a table of its own that is cleared after each use: no sorting."""
+    """Sums of rows by place, laid out by the rank of each place that occurs: no sorting, no table as large as the model. Rows of
+    even width are added as complex numbers, two parameters at once."""
 
     def __init__(self, shape: tuple[int, int]):
-        self.table, self.met, self.across = np.zeros(shape, np.float32), np.zeros(shape[0], bool), np.arange(shape[1])
+        self.kind = np.complex64 if shape[1] % 2 == 0 else np.float32
+        self.across = np.arange(shape[1] * 4 // np.dtype(self.kind).itemsize)
+        self.met, self.start = np.zeros(shape[0], bool), np.zeros(shape[0], np.int64)
 
     def of(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct places, sums)."""
-        np.add.at(self.table.reshape(-1), ((at * self.table.shape[1])[:, None] + self.across).ravel(), rows.astype(np.float32, copy=False).ravel())
+        """(distinct places, sums); rows: 32-bit floats, one row after the other."""
+        width = len(self.across)
         self.met[at] = True
         places = np.flatnonzero(self.met)
-        sums = self.table[places]
-        self.table[places], self.met[places] = 0, False
-        return places, sums
+        self.met[places], self.start[places] = False, np.arange(0, len(places) * width, width)
+        sums = np.zeros(len(places) * width, self.kind)
+        np.add.at(sums, (self.start.take(at)[:, None] + self.across).ravel(), rows.view(self.kind).ravel())
+        return places, sums.view(np.float32).reshape(len(places), -1)
 
 
 class Noise:
@@ -113,13 +131,23 @@ class Noise:
 def contrast(h: np.ndarray, q: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, log: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gradients of the noise-contrastive loss of true outputs w against noise k that all tokens share: by h, the rows of q that
     change and by them, by b."""
-    qw, qk = q[w], q[k]
-    s = np.einsum("ij,ij->i", h, qw) + b[w] - log[w]
-    sk = h @ qk.T + (b[k] - log[k])
+    qw, qk, less = q.take(w, axis=0), q.take(k, axis=0), b - log
+    s = np.einsum("ij,ij->i", h, qw) + less.take(w)
+    gk = h @ qk.T
+    gk += less.take(k)
     g = -1 / (1 + np.exp(np.clip(s, -30, 30)))  # of the loss by s: true outputs
-    gk = 1 / (1 + np.exp(-np.clip(sk, -30, 30)))  # and noise
-    at, rows = sums.of(np.concatenate([w, k]), np.concatenate([g[:, None] * h, gk.T @ h]))
-    return g[:, None] * qw + gk @ qk, at, rows, np.bincount(w, g, len(b)) + np.bincount(k, gk.sum(axis=0), len(b))
+    gk *= 0.5  # and noise: the logistic function is (1 + tanh(x / 2)) / 2
+    np.tanh(gk, out=gk)
+    gk += 1
+    gk *= 0.5
+    rows = np.empty((len(w) + len(k), h.shape[1]), np.float32)
+    np.multiply(g[:, None], h, out=rows[: len(w)])
+    np.matmul(gk.T, h, out=rows[len(w) :])
+    at, rows = sums.of(np.concatenate([w, k]), rows)
+    by_h = gk @ qk
+    qw *= g[:, None]
+    by_h += qw
+    return by_h, at, rows, np.bincount(np.concatenate([w, k]), np.concatenate([g, gk.sum(axis=0)]), len(b))
 
 
 class Trainer:
@@ -133,22 +161,29 @@ class Trainer:
         self.sums = {i: Sums(self.p[i].shape) for i in (0, 1, 4)}
 
     def update(self, i: int, at: np.ndarray, grad: np.ndarray) -> None:
-        self.squares[i][at] += (grad * grad).mean(axis=1) if grad.ndim > 1 else grad * grad
-        rate = RATE / np.sqrt(self.squares[i][at])
-        self.p[i][at] -= (rate[:, None] if grad.ndim > 1 else rate) * grad
+        squares = self.squares[i].take(at) + (np.einsum("ij,ij->i", grad, grad) / grad.shape[1] if grad.ndim > 1 else grad * grad)
+        self.squares[i][at] = squares
+        rate = RATE / np.sqrt(squares)
+        self.p[i][at] = self.p[i].take(at, axis=0) - (rate[:, None] if grad.ndim > 1 else rate) * grad
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
         r, q, c, b, kq, kb = self.p
-        r1, r2 = r[w1], r[w2]
-        h = r1 * c[0] + r2 * c[1]
+        n = len(w)
+        before = np.concatenate([w1, w2])
+        both = r.take(before, axis=0)
+        r1, r2 = both[:n], both[n:]
+        h = r1 * c[0]
+        h += r2 * c[1]
         gh = np.zeros_like(h)
         for i, j, out, bias, true, noise in ((1, 3, q, b, w, self.words), (4, 5, kq, kb, self.classes.of[w], self.groups)):
             more, at, rows, gb = contrast(h, out, bias, true, noise.draw(), noise.log, self.sums[i])
             gh += more
             self.update(i, at, rows)
             self.update(j, at, gb[at].astype(np.float32))
-        at, rows = self.sums[0].of(np.concatenate([w1, w2]), np.concatenate([gh * c[0], gh * c[1]]))
-        c_grad = np.stack([(gh * r1).sum(axis=0), (gh * r2).sum(axis=0)])
+        c_grad = np.stack([np.einsum("ij,ij->j", gh, r1), np.einsum("ij,ij->j", gh, r2)])
+        np.multiply(gh, c[0], out=r1)
+        np.multiply(gh, c[1], out=r2)
+        at, rows = self.sums[0].of(before, both)
         self.update(0, at, rows)
         self.update(2, np.arange(2), c_grad)
 
@@ -236,29 +271,42 @@ def log10_probabilities(parameters: list[np.ndarray], classes: Classes, w1: np.n
     are computed once for each context, and each context and class, of SCORED tokens."""
     r, q, c, b, kq, kb = parameters
     begins, out = np.r_[0, classes.ends[:-1]], np.zeros(len(w))
+    several = classes.ends - begins > 1  # a class of one word has nothing to tell apart
     ordered, biases = q[classes.order], b[classes.order]
     for i in range(0, len(w), SCORED):
         part = slice(i, i + SCORED)
-        x, of = w[part], classes.of[w[part]]
+        x, of = w[part], classes.of.take(w[part])
         contexts_met, at = np.unique(w1[part] * len(b) + w2[part], return_inverse=True)
-        h = r[contexts_met // len(b)] * c[0] + r[contexts_met % len(b)] * c[1]
-        whole = log_sums(h @ kq.T + kb)
-        pairs, which = np.unique(of * len(h) + at, return_inverse=True)  # by class, then context
+        h = r.take(contexts_met // len(b), axis=0) * c[0]
+        h += r.take(contexts_met % len(b), axis=0) * c[1]
+        own = h.take(at, axis=0)
+        found = np.einsum("ij,ij->i", own, kq.take(of, axis=0)) + kb.take(of) - log_sums(h, kq, kb).take(at)
+        open_ = np.flatnonzero(several.take(of))
+        x = x.take(open_)
+        pairs, which = np.unique(of.take(open_) * len(h) + at.take(open_), return_inverse=True)  # by class, then context
         inside = np.zeros(len(pairs))
         cuts = np.flatnonzero(np.diff(pairs // len(h), prepend=-1, append=-1))
         for a, z in zip(cuts, cuts[1:]):
             k = pairs[a] // len(h)
             members = slice(begins[k], classes.ends[k])
-            inside[a:z] = log_sums(h[pairs[a:z] % len(h)] @ ordered[members].T + biases[members])
-        own = h[at]
-        found = np.einsum("ij,ij->i", own, kq[of]) + kb[of] - whole[at] + np.einsum("ij,ij->i", own, q[x]) + b[x] - inside[which]
+            inside[a:z] = log_sums(h.take(pairs[a:z] - k * len(h), axis=0), ordered[members], biases[members])
+        found[open_] += np.einsum("ij,ij->i", own.take(open_, axis=0), q.take(x, axis=0)) + b.take(x) - inside.take(which)
         out[part] = found
     return out / np.log(10)
 
 
-def log_sums(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(axis=1, keepdims=True)
-    return (np.log(np.exp(logits - most).sum(axis=1)) + most[:, 0]).astype(float)
+def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(h * q + b) over q, for blocks of contexts whose logits stay in a processor's cache."""
+    out, ones = np.zeros(len(h)), np.ones(len(q), np.float32)
+    rows = max(16, LOGITS // len(q))
+    for i in range(0, len(h), rows):
+        logits = q @ h[i : i + rows].T
+        logits += b[:, None]
+        most = logits.max(axis=0)
+        logits -= most
+        np.exp(logits, out=logits)
+        out[i : i + rows] = np.log(ones @ logits) + most
+    return out
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
@@ -292,20 +340,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
-        places_of = unpacked_table(known, "places", lambda t: {w: i for i, w in enumerate(t.column(0).cast(pa.binary()).to_pylist())})
-        get, (logs, model) = places_of.get, rest.value
+        places_of = unpacked_table(known, "places", lambda t: Places(t.column(0).cast(pa.binary()).to_pylist()))
+        get, (logs, model) = places_of.__getitem__, rest.value
         classes = Classes(model[1]) if model is not None else None
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             texts_in = batch.column(1).cast(pa.binary()).to_pylist()
             at, ends, rare = [], [], []
             for text in texts_in:
-                split = (text or b"").translate(LOWER).split()
-                places = [get(w, -1) for w in split]
-                at += places
+                places_of.missed = []
+                at += map(get, (text or b"").translate(LOWER).split())
                 at.append(-2)
                 ends.append(len(at))
-                rare.append(list(Counter([w for w, p in zip(split, places) if p < 0]).items()) if -1 in places else [])
+                rare.append(Counter(places_of.missed))
             at, ends = np.array(at, np.int64), np.array(ends, np.int64)
             firsts = np.r_[0, ends[:-1]]
             if len(ends):
@@ -322,7 +369,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 n = np.diff(np.r_[0, ends])
                 out = [[(part << 32) + row + i for i in range(len(ends))], n, frequent_known, base, score]
                 row += len(ends)
-                pairs = pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32)), pa.array([w for x in rare for w, _ in x], pa.binary()).cast(pa.string()), pa.array([c for x in rare for _, c in x], pa.int64()))
+                pairs = pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32)), pa.array([w for x in rare for w in x], pa.binary()).cast(pa.string()), pa.array([c for x in rare for c in x.values()], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column(0), batch.column(2), *[pa.array(c) for c in out[1:]], pairs], names=["key", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"])
 
     schema = f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_frequent long, base double, score double, rare map<string,bigint>"

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -428,6 +429,34 @@ def test_lm_score_by_hand(spark):
         assert got[i] == pytest.approx(total, abs=1e-3)
 
 
+def test_lm_holds_few_logits_at_once():
+    """Normalisers go by blocks: 60,000 contexts and 256 classes at once were 61 MB of logits, held twice."""
+    rng = np.random.default_rng(8)
+    n = 1 << 16
+    unigram = rng.random(n) + 0.01
+    classes = lm.Classes(unigram / unigram.sum())
+    p = lm.start(unigram, classes)
+    w1, w2, w = rng.integers(3, n, (3, 60_000))
+    tracemalloc.start()
+    got = lm.log10_probabilities(p, classes, w1, w2, w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6 and np.isfinite(got).all() and (got < 0).all()
+    few = lm.log10_probabilities(p, classes, w1[:50], w2[:50], w[:50])
+    assert got[:50] == pytest.approx(few, abs=1e-5)
+
+
+@pytest.mark.parametrize("width", [6, 7])
+def test_lm_sums_by_hand(width):
+    rng = np.random.default_rng(4)
+    sums = lm.Sums((50, width))
+    for _ in range(3):  # nothing stays between uses
+        at, rows = rng.integers(0, 50, 40), rng.standard_normal((40, width)).astype(np.float32)
+        places, got = sums.of(at, rows)
+        assert places.tolist() == sorted(set(at.tolist()))
+        assert got == pytest.approx(np.array([rows[at == p].sum(axis=0) for p in places]), abs=1e-5)
+
+
 def test_lm_learns_context():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile([3, 4, 5], 3000)[: 9000]]) + 0
