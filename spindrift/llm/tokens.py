@@ -10,6 +10,8 @@ so memory follows its words, and a word that repeats is encoded once a worker.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,8 +20,12 @@ from .common import remembered
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers.
 MEMO = 1_000_000
+#: Parts of words that a worker remembers besides.
+PARTS = 1 << 19
 #: Words that are encoded in one call.
 CALL = 512
+#: Marks that end a run of letters, and the last letter that counts as Latin here.
+MARKS, LATIN = string.punctuation.encode(), "\u024f"
 
 
 def tokenizer(path: str | None = None):
@@ -52,7 +58,7 @@ def id_type(path: str | None = None) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encoded_words(words: list[bytes], path: str | None = None) -> list[bytes]:
+def _encoded(words: list[bytes], path: str | None) -> list[bytes]:
     """Ids of each word, in the vocabulary's id_type; many words a call."""
     kind = np.dtype(id_type(path))
     encode, out = tokenizer(path).encode, []
@@ -68,6 +74,50 @@ def encoded_words(words: list[bytes], path: str | None = None) -> list[bytes]:
     return out
 
 
+def _pieces_encoded(pieces: list[str]) -> list[bytes]:
+    """Ids of pieces that parts_of gives, by VOCABULARY's model alone: nothing else in the tokenizer changes them, except that
+    bytes stand as letters."""
+
+    def load():
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        return {c: shown(chr(c))[0][0] for c in range(0x80, ord(LATIN) + 1)}
+
+    kind, letters, model = np.dtype(id_type()), remembered("bytes as letters", load), tokenizer().model.tokenize
+    found = [[t.id for t in model(p if p.isascii() else p.translate(letters))] for p in pieces]
+    ids = np.array([i for x in found for i in x], kind).tobytes()
+    ends = np.cumsum([0, *map(len, found)]) * kind.itemsize
+    return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def parts_of(word: bytes) -> tuple[str, str] | None:
+    """A word of Latin letters with ASCII marks behind them: the letters in lower case, and the marks or nothing. VOCABULARY's
+    splitting pattern parts them, and its normaliser lowers letters and leaves both as they are. None for any other word."""
+    letters = word.rstrip(MARKS)
+    lower = letters.decode().lower()
+    if lower.isalpha() and max(lower) <= LATIN:
+        return lower, word[len(letters) :].decode()
+    return None
+
+
+def encoded_words(words: list[bytes], path: str | None = None) -> list[bytes]:
+    """Ids of each word, in the vocabulary's id_type. With VOCABULARY, letters and marks are encoded apart, once a worker: most
+    rare words differ from others in case or marks only."""
+    if path is not None:
+        return _encoded(words, path)
+    table = remembered("parts of words", lambda: {"": b""})
+    parts = list(map(parts_of, words))
+    new = {x for p in parts if p for x in p if x not in table}
+    if new:
+        new = list(new)
+        if len(table) + len(new) > PARTS:
+            table = {x: table[x] for p in parts if p for x in p if x in table}
+        table.update(zip(new, _pieces_encoded(new)))
+    others = iter(_encoded([w for w, p in zip(words, parts) if not p], None))
+    return [table[p[0]] + table[p[1]] if p else next(others) for p in parts]
+
+
 class WordIds(dict):
     """word -> ids. Words beyond MEMO are encoded whenever they are met: the first million hold the frequent ones."""
 

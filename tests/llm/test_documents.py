@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from spindrift.llm import bpe, exact_dedup, lm, minhash, mixing, quality, secrets, token_files
+from spindrift.llm import bpe, exact_dedup, lm, minhash, mixing, quality, secrets, token_files, tokens
 from spindrift.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,6 +203,43 @@ def test_bpe_empty(empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def test_words_by_parts(monkeypatch):
+    """Ids are the library's for odd words too, and letters that differ in case or in marks behind them are encoded once."""
+    rng = random.Random(3)
+    bits = [*"abESıİßŁÉéǅſKǺ̧.,'!?<|>_-19ªΣς日\xa0", "'s", "'T", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    odd = {"".join(rng.choice(bits) for _ in range(rng.randrange(1, 8))) for _ in range(4000)} | {f"a{chr(c)}B.{chr(c)}" for c in range(33, 0x250)}
+    odd = sorted(w.encode() for w in odd if len(w.encode().split()) == 1)
+    library = tokens.tokenizer()
+    assert tokens.encoded_words(odd) == [np.array(library.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in odd]
+    seen = []
+
+    class Counting:
+        get_vocab_size = library.get_vocab_size
+
+        def encode(self, words, **how):
+            seen.extend(words)
+            return library.encode(words, **how)
+
+        @property
+        def model(self):
+            return self
+
+        def tokenize(self, piece):
+            seen.append(piece)
+            return library.model.tokenize(piece)
+
+    monkeypatch.setattr(tokens, "tokenizer", lambda path=None: Counting())
+    monkeypatch.setattr(tokens, "PARTS", 1 << 40)
+    alike = [b"Xqzvtallie", b"xqzvtallie,", b"XQZVTALLIE.", b"xqzvtallie", b"xqzvTallie,"]
+    assert len(set(tokens.encoded_words(alike)[i] for i in (0, 3))) == 1
+    assert seen.count("xqzvtallie") == 1 and len(seen) <= 3
+    seen.clear()
+    tokens.encoded_words(alike)
+    assert seen == []
+    monkeypatch.setattr(tokens, "PARTS", 0)  # a full memory
+    assert tokens.encoded_words([b"Xqzvnew.,", b"xqzvtallie.", b"1a"]) == [np.array(library.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in ("Xqzvnew.,", "xqzvtallie.", "1a")]
+
+
 def test_token_files(spark, docs, rows, tokenizer, empty):
     unique = {r[0]: r for r in rows}
     scratch = Scratch(spark)
