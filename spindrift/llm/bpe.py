@@ -164,7 +164,6 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         docs = scratch.keep(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), "docs")
         id_col, text_col = "doc_id", "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    kind = id_type(path)
 
     counted = scratch.keep(count_words(docs, "text", least=2), "counts")
     often = counted.where(F.col("n") >= frequency_bound(counted, frequent)).select("word", "n")
@@ -210,7 +209,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def assemble(batches):
-        table = pieces(path)
+        table, kind = pieces(path), id_type(path)  # the vocabulary is loaded where it is used, not by the driver
         common = unpacked_table(known, "ids", lambda t: Ids(t.column("ids").combine_chunks(), kind, table))
         block, held, words = None, [], None
         for batch in batches:

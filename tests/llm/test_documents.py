@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import tracemalloc
 import zlib
@@ -199,6 +200,14 @@ def test_bpe(docs, rows, tokenizer, frequent):
     assert all(hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 for r in got)
 
 
+def test_bpe_loads_no_vocabulary_on_the_driver(docs, monkeypatch):
+    """A vocabulary in the driver's memory would stay there for the session."""
+    store = {}
+    monkeypatch.setitem(sys.modules, "_spindrift_remembered", store)
+    assert bpe.encode_decode(docs, with_ids=True).count() == docs.count()
+    assert not [k for k in store if k[0] in ("tokenizer", "pieces")]
+
+
 def test_bpe_empty(empty):
     assert bpe.encode_decode(empty).count() == 0
 
@@ -566,6 +575,28 @@ def test_quality_bound_holds_for_repeated_rows(spark):
     assert len(seen) == 7 * quality.EPOCHS
 
 
+def test_quality_sample_reaches_the_driver_packed(spark, monkeypatch):
+    """The sample takes at most half of its plain features' bytes on the driver, and gives the very weights of plain features."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(7)
+    texts = {i: " ".join("w%d" % rng.randrange(3000) for _ in range(rng.randrange(200, 600))) for i in range(60)} | {60: None, 61: "", 62: "!", 63: "a b " * 70_000}
+    held, inner = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: held.append(inner(self)) or held[-1])
+    got = quality.fit(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"))
+    memo, model = quality.Hashes(), quality.Leader()
+    order = sorted((i for i in texts if zlib.crc32(str(i).encode()) % 5), key=lambda i: quality.xxhash.xxh64_intdigest(str(i)))
+    plain = {i: quality.features((texts[i] or "").encode(), memo) for i in order}
+    for _ in range(quality.EPOCHS):
+        for i in order:
+            model.learn(plain[i][0], plain[i][1].astype(np.float32).astype(float), i % 2)
+    assert np.array_equal(got, model.weights()) and got.any()
+    assert sum(t.nbytes for t in held) < 4 * sum(len(at) for at, _ in plain.values())
+    for text in texts.values():
+        at, counts = quality.counted((text or "").encode(), memo)
+        assert all(np.array_equal(a, b) for a, b in zip(quality.unpacked(quality.packed(at, counts)), (at, counts)))
+
+
 def test_token_files_have_stripes_and_filters(spark, tmp_path, monkeypatch):
     """Stripes, row index and Bloom filters of the files written, by their metadata, and a read that prunes."""
     from pyarrow import orc
