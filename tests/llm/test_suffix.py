@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -94,3 +95,54 @@ def test_passages_go_by_bytes_not_by_words(spark):
     got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()}
     assert [got[i].n_removed for i in range(4)] == [0, 0, 404, 404]
     assert [bytes(got[i].kept).decode() for i in range(4)] == [rows[0][1], rows[1][1], *(t.replace(f" |{enough}| ", "") for _, t in rows[2:])]
+
+
+def held(f):
+    """MB that f holds at most, and what it gives."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little():
+    """Of whole texts, of a full shard and of strings that share no comparison: bounded, with the same results."""
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(5000)]
+    text = b" ".join(rng.choices(words, k=suffix_dedup.CUT // 6 + 1))[: suffix_dedup.CUT]
+    mb, (_, first, end, _) = held(lambda: suffix_dedup.pieces(text, [(0, len(text))]))
+    assert mb < 40 and (end - first).sum() == len(text) - 399
+    own = [b" ".join(rng.choices(words, k=150)) for _ in range(suffix_dedup.SHARD // 900)]
+    mb, (repeats, _) = held(lambda: suffix_dedup.shard(own + own[:1], [1] * (len(own) + 1)))
+    assert mb < 60 and [bool(f.any()) for f in repeats] == [True] + [False] * (len(own) - 1) + [True]
+
+
+def test_prefixes_of_starts_on_diagonals_of_their_own():
+    rng = np.random.default_rng(5)
+    copies = 16
+    text = np.tile(rng.integers(0, 256, 2000, dtype=np.uint8), copies)
+    # copies in ever different order, so that hardly a start has the neighbour of the start before it
+    array = np.concatenate([rng.permutation(copies) * 2000 + i for i in range(1600)]).astype(np.int32)
+    mb, got = held(lambda: suffix_dedup.common_prefixes(text, array))
+    assert mb < 80
+    assert (got.reshape(-1, copies)[:, 1:] == 400).all() and (got.reshape(-1, copies)[1:, 0] == 0).all()
+
+
+def test_strings_of_a_shared_key_go_in_batches(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 1000)
+    texts = [rng.randbytes(600) for _ in range(50)]
+    texts.append(texts[0][100:550] + b"-")
+    rows = [(7, i, -i, 1, 2 if i else 1, 0, t) for i, t in enumerate(texts)]
+    batches = list(suffix_dedup.decided_rows(rows))
+    assert max(b.num_rows for b in batches) == 1000
+    out = [r for b in batches for r in b.to_pylist()]
+    assert {r["d1"]: np.frombuffer(r["runs"], "<u4").tolist() for r in out if r["runs"]} == {0: [100, 151], 50: [0, 51]}
+    digest = lambda t: tuple(np.frombuffer(suffix_dedup.xxhash.xxh3_128_digest(t), "<i8").tolist())
+    strings = {digest(rows[r["d1"]][6][r["at"] : r["at"] + 400]): r["n"] for r in out if r["runs"] is None}
+    want = Counter(digest(t[k : k + 400]) for t in texts for k in range(len(t) - 399))
+    assert all((r["s1"], r["s2"]) in want and r["key"] == 7 and r["d2"] == -r["d1"] for r in out if r["runs"] is None)
+    assert all(want[d] == n for d, n in strings.items())
+    assert len(strings) >= 49 * 201 + 1 and all(digest(t[k : k + 400]) in strings for t in texts[1:50] for k in range(201))
