@@ -182,3 +182,13 @@ def test_lines_of_one_long_group(spark):
     got = M.grouped_lines(df, "g", "c").collect()
     assert {(r.g, r.id, r.line) for r in got} == want and len(got) == len(items)
     assert time.time() - began < 30
+
+
+def test_bands_of_one_long_group(spark):
+    n = 32_400
+    hits = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 900).cast("double").alias("y0"), (F.col("id") * 7919 % 900 + 30).cast("double").alias("y1"))
+    few = hits.distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4))))  # as many lines, each with as large a share
+    began = time.time()
+    got = {tuple(r) for r in M.packed_bands(hits, "g", 720, 1280).collect()}
+    assert time.time() - began < 30
+    assert got == {tuple(r) for r in M.packed_bands(few.drop("k"), "g", 720, 1280).collect()} and got
