@@ -296,19 +296,25 @@ def support(df: DataFrame, by: list[str], frame: str, similar=None, equal: list[
     Likeness by equal columns alone is a window over each group of equal rows'
     frames; a condition similar(a, b) on top is an equi-join on group, equal
     columns and buckets of frames as wide as reach: a row stands in its own and
-    the next one, and a pair counts in the first that both share.
+    the next one, and a pair counts in the first that both share. Rows of a
+    frame that are alike in all that similar asks for go through it as one.
     """
     keys = [*by, *equal]
     if similar is None:
         frames = df.select(*keys, frame).distinct()
         near = Window.partitionBy(*keys).orderBy(frame).rangeBetween(-reach, reach)
         return df.join(frames.withColumn("support", F.count(F.lit(1)).over(near) - 1).where(F.col("support") >= least), [*keys, frame]).select(*df.columns, "support")
-    rows = df.withColumn("_b", F.floor(F.col(frame) / reach)).withColumn("_at", F.explode(F.array("_b", F.col("_b") + 1)))
-    other = rows.select(*keys, "_at", *[F.col(c).alias(f"_{c}") for c in [*df.columns, "_b"] if c not in keys])
+    asked: dict[str, None] = {}
+    similar(lambda c: asked.setdefault(c) or F.col(c), lambda c: asked.setdefault(c) or F.col(c))
+    places = [*keys, frame, *[c for c in asked if c not in (*keys, frame)]]
+    rows = df.select(*places).distinct().withColumn("_b", F.floor(F.col(frame) / reach)).withColumn("_at", F.explode(F.array("_b", F.col("_b") + 1)))
+    other = rows.select(*keys, "_at", *[F.col(c).alias(f"_{c}") for c in [*places, "_b"] if c not in keys])
     apart = F.abs(F.col(frame) - F.col(f"_{frame}"))
-    near = rows.join(other, [*keys, "_at"]).where((F.col("_at") == F.greatest("_b", "__b")) & (apart > 0) & (apart <= reach))
-    hit = near.where(similar(lambda c: F.col(c), lambda c: F.col(f"_{c}")))
-    return hit.groupBy(*df.columns).agg(F.count_distinct(f"_{frame}").alias("support")).where(F.col("support") >= least)
+    near = rows.join(other.hint("merge"), [*keys, "_at"]).where((F.col("_at") == F.greatest("_b", "__b")) & (apart > 0) & (apart <= reach))
+    hit = near.where(similar(lambda c: F.col(c), lambda c: F.col(c if c in keys else f"_{c}")))
+    found = hit.groupBy(*places).agg(F.count_distinct(f"_{frame}").alias("support")).where(F.col("support") >= least)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in places]
+    return df.distinct().alias("l").join(found.alias("r").hint("merge"), same).select(*[F.col(f"l.{c}").alias(c) for c in df.columns], "support")
 
 
 def glyphs_in_lines(glyphs: DataFrame, lines: DataFrame, by: list[str], frames: int = 90, near: float = 30, side: float = 30, low: float = 0.6, high: float = 1.45) -> DataFrame:

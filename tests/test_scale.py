@@ -192,3 +192,40 @@ def test_bands_of_one_long_group(spark):
     got = {tuple(r) for r in M.packed_bands(hits, "g", 720, 1280).collect()}
     assert time.time() - began < 30
     assert got == {tuple(r) for r in M.packed_bands(few.drop("k"), "g", 720, 1280).collect()} and got
+
+
+def test_support_of_equal_boxes(spark):
+    """Four hundred equal rows a frame: as pairs they took the square of that, thirteen million of them."""
+    df = spark.range(40_000).select(F.lit(1).alias("g"), F.col("id"), (F.col("id") % 100).alias("frame"), F.when(F.col("id") % 400 < 300, F.col("id") % 3 * 2).alias("x"))
+    seen: list = []
+
+    def near(a, b):
+        seen.append(1)
+        return F.abs(a("x") - b("x")) < 2
+
+    found = Q.support(df, ["g"], "frame", near)
+    got = {(r.id, r.support) for r in found.collect()}
+    rows = [tuple(r) for r in df.collect()]
+    at = defaultdict(set)
+    for _, _, f, x in rows:
+        at[x].add(f)
+    n = {(f, x): sum(1 for k in at[x] if k != f and abs(k - f) <= 6) for _, _, f, x in rows if x is not None}
+    assert got == {(i, n[f, x]) for _, i, f, x in rows if x is not None and n[f, x] >= 5} and got
+    assert most_rows(found) <= 100_000
+
+
+def most_rows(df):
+    """The most rows that an operator of a plan gives, as its run counts them."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.alias("again").select("*")._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
