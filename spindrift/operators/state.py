@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as V
 from ..functions.scalars import half_up, local_date
-from .relational import first_of_each, upper_medians
+from .relational import first_of_each, running, upper_medians
 from .sequences import overlapping
 
 
@@ -121,9 +121,41 @@ def until_first_hit(df: DataFrame, by: list[str], position: str, hit: Column) ->
 
 
 def ready(segments: DataFrame, chunks: DataFrame, by: list[str], segment: str) -> DataFrame:
-    """Segments (f0, f1 exclusive) all of whose overlapping chunks (s, e inclusive) are done."""
-    both = overlapping(segments, chunks.withColumn("_after", F.col("e") + 1), by, ("f0", "f1"), ("s", "_after"))
-    return both.groupBy(*by, segment).agg(F.bool_and(F.col("status") == "done").alias("ready"))
+    """Segments (f0, f1 exclusive) all of whose overlapping chunks (s, e inclusive) are done.
+
+    No pairs are made: of the chunks that begin before a segment's end, all but
+    those that end before its start overlap it, so running counts at both ends
+    tell how many there are, and how many are done or not. This holds for ranges
+    that aren't empty or turned round; of others the pairs are counted.
+    """
+    known = lambda df, *c: df.where(" AND ".join(f"`{x}` IS NOT NULL" for x in (*by, *c)))
+    segments = known(segments, "f0", "f1").select(*by, segment, "f0", "f1")
+    done = F.col("status") == "done"
+    chunks = known(chunks, "s", "e").select(*by, "s", (F.col("e") + 1).alias("_after"), F.lit(1).alias("_all"), F.coalesce(done, F.lit(False)).cast("int").alias("_done"), F.coalesce(~done, F.lit(False)).cast("int").alias("_open"))
+    counts = ["_all", "_done", "_open"]
+    odd_segment, odd_chunk = F.col("f0") >= F.col("f1"), F.col("s") > F.col("_after")
+
+    none = F.lit(0).cast("long")
+    total = lambda df, at, kind: df.groupBy(*by, F.col(at).alias("_at")).agg(*[F.sum(c).alias(f"{kind}{c}") for c in counts]).select("*", *[none.alias(f"{k}{c}") for k in "be" if k != kind for c in counts])
+    plain = chunks.where(~odd_chunk)
+    nobody = segments.select(segment).schema[0].dataType
+    side = lambda df, rank: df.withColumns({"_rank": F.lit(rank), segment: F.lit(None).cast(nobody)})
+    asked = segments.where(~odd_segment).select(*by, segment, F.explode(F.array(F.struct(F.col("f0").alias("_at"), F.lit(0).alias("_end")), F.struct(F.col("f1").alias("_at"), F.lit(1).alias("_end")))).alias("x")).select(*by, segment, "x.*")
+    asked = asked.select("*", F.lit(1).alias("_rank"), *[none.alias(f"{k}{c}") for k in "be" for c in counts])
+    # at one place ends come first, then the questions, then starts: e + 1 <= f0 ends before, s = f1 begins after
+    rows = asked.unionByName(side(total(plain, "s", "b"), 2), allowMissingColumns=True).unionByName(side(total(plain, "_after", "e"), 0), allowMissingColumns=True)
+    so_far = running(rows, by, [F.col("_at"), F.col("_rank"), F.col(segment), F.col("_end")], {f"{k}{c}": f"_so_far_{k}{c}" for k in "be" for c in counts})
+    met = so_far.where("_rank = 1").groupBy(*by, segment).agg(*[F.sum(F.when(F.col("_end") == 1, F.col(f"_so_far_b{c}")).otherwise(-F.col(f"_so_far_e{c}"))).alias(c) for c in counts])
+    pairs = []
+    if segments.where(odd_segment).limit(1).count():
+        pairs.append(overlapping(segments.where(odd_segment), chunks, by, ("f0", "f1"), ("s", "_after")))
+    if chunks.where(odd_chunk).limit(1).count():
+        pairs.append(overlapping(segments.where(~odd_segment), chunks.where(odd_chunk), by, ("f0", "f1"), ("s", "_after")))
+    for both in pairs:
+        met = met.unionByName(both.groupBy(*by, segment).agg(*[F.sum(c).alias(c) for c in counts]))
+    if pairs:
+        met = met.groupBy(*by, segment).agg(*[F.sum(c).alias(c) for c in counts])
+    return met.where("_all > 0").select(*by, segment, F.when(F.col("_open") > 0, False).when(F.col("_done") > 0, True).alias("ready"))
 
 
 def workers(jobs: DataFrame, normal: int = 5, congested: int = 3, busy: int = 3) -> DataFrame:

@@ -214,6 +214,26 @@ def test_support_of_equal_boxes(spark):
     assert most_rows(found) <= 100_000
 
 
+def test_ready_counts_instead_of_pairs(spark):
+    from spindrift.operators import state as S
+
+    rng = random.Random(8)
+    n = 3000
+    segments = [(g, i, f, f + rng.choice([10, 40, 500])) for i in range(n) for g, f in [(rng.choice([1, 1, 1, 2, None]), rng.randrange(900))]] + [(2, 9000, 50, 50), (2, 9001, 60, 20), (3, 9002, 1, 5), (1, 9003, None, 4)]
+    chunks = [(g, s, s + rng.choice([0, 5, 300]), rng.choice(["done"] * 90 + ["todo", None])) for _ in range(n) for g, s in [(rng.choice([1, 1, 1, 2, None]), rng.randrange(3000))]] + [(2, 30, 10, "todo"), (2, 51, 50, "todo"), (1, 5, None, "todo"), (4, 1, 2, "done")]
+    found = S.ready(spark.createDataFrame(segments, "g int, i int, f0 int, f1 int"), spark.createDataFrame(chunks, "g int, s int, e int, status string"), ["g"], "i")
+    of = defaultdict(list)
+    for g, i, f0, f1 in segments:
+        for k, s, e, status in chunks:
+            if g is not None and g == k and None not in (f0, f1, s, e) and s < f1 and e + 1 > f0:
+                of[g, i].append(status)
+    want = {(g, i, False if "todo" in v else True if "done" in v else None) for (g, i), v in of.items()}
+    assert {tuple(r) for r in found.collect()} == want and {w[2] for w in want} >= {True, False}
+    plain = lambda rows: [r for r in rows if r[2] is not None and r[1] is not None]
+    ok = [r for r in plain(segments) if r[3] > r[2]], [r for r in plain(chunks) if r[2] >= r[1]]
+    assert most_rows(S.ready(spark.createDataFrame(ok[0], "g int, i int, f0 int, f1 int"), spark.createDataFrame(ok[1], "g int, s int, e int, status string"), ["g"], "i")) <= 8 * n
+
+
 def most_rows(df):
     """The most rows that an operator of a plan gives, as its run counts them."""
     df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
