@@ -259,6 +259,33 @@ def test_label_groups_of_equal_pieces(spark, monkeypatch):
     assert len({r.group for r in got if r.f == 1}) > 5
 
 
+def test_labels_send_no_table_around(spark, monkeypatch):
+    """Spark takes the size of files, or of rows before an explode, for that of a table; the joins of pieces don't rely on it."""
+    plans = written_plans(monkeypatch)
+    k = F.col("id")
+    pieces = spark.range(400).select(F.floor(k / 8).alias("frame"), "id", (k % 4 * 70).alias("x0"), (k % 2 * 70).alias("y0"), (k % 4 * 70 + 50).alias("x1"), (k % 2 * 70 + 50).alias("y1"), (k % 50 * 20 + 400).alias("area"), (k % 3 * 40).cast("double").alias("hue"), F.lit(0.5).alias("white"))
+    out = M.decorative_labels(pieces, "frame")
+    assert len(plans) > 2 and not [p for p in [*plans, plan_of(out)] if "BroadcastExchange" in p]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def written_plans(monkeypatch):
+    """Plans of the tables that operators write, as they come."""
+    from spindrift.sources.scratch import Scratch
+
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df, *args):
+        plans.append(plan_of(df))
+        return keep(self, df, *args)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    return plans
+
+
 def most_rows(df):
     """The most rows that an operator of a plan gives, as its run counts them."""
     df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
