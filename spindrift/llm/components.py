@@ -2,7 +2,7 @@
 
 Each step finds the smallest neighbour of each vertex, with map-side combining,
 and writes it; joining it back to the links is then a join of two stored
-tables, which Spark broadcasts where its size allows and whose hot vertices it
+tables, which Spark broadcasts where few rows allow it and whose hot vertices it
 splits elsewhere. Links never reach the driver, and each round is written to
 the shared folder.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, met
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -28,11 +28,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         # large star: the larger neighbours of u go to the smallest vertex near u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_near")
-        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(met(near), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.keep(large, f"{name}_large")
         # small star: the smaller neighbours of u, and u, go to the smallest of them
         near = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least")
-        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(met(near), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = scratch.keep(small, f"{name}{turn + 1}")
         scratch.drop(f"{name}{turn}", f"{name}_near", f"{name}_large", f"{name}_least")
         turn += 1

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, partitions, positional
+from .common import Scratch, arrow_map, met, partitions, positional
 from .components import components
 from .words import LOWER
 
@@ -264,7 +264,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    both = met(pairs).join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
     pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -279,12 +279,13 @@ def near_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     first = live.groupBy("signature").agg(F.min("key").alias("id"), F.first("n").alias("n"))
     first = scratch.keep(first, "first")
     # a repeated identifier may stand for several sets; one of them carries its sketches, the other sets keep their own row
-    reps = live.join(first.select("signature", F.col("id").alias("key")), ["signature", "key"], "left_semi").dropDuplicates(["signature"])
+    reps = live.join(met(first.select("signature", F.col("id").alias("key"))), ["signature", "key"], "left_semi").dropDuplicates(["signature"])
     reps = scratch.keep(reps.select(F.col("key").alias("id"), "n", "bands", "s", "p"), "reps")
 
     banded = reps.select(F.explode("bands").alias("bucket"), "id")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1 and lo <> hi").select("bucket", "m")
-    placed = scratch.keep(banded.join(shared, "bucket"), "placed")
+    # Spark sizes a table as before an explode, a tenth of what banded is, and would send it around
+    placed = scratch.keep(banded.join(shared.hint("merge"), "bucket"), "placed")
     active = scratch.keep(placed.select("id").distinct(), "active")
 
     def sets_of(batches):
@@ -292,12 +293,12 @@ def near_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t or b"", memo, shingle).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "elements"])
 
-    sets = scratch.keep(arrow_map(docs.join(active.withColumnRenamed("id", "key"), "key", "left_semi"), sets_of, "id long, elements binary").dropDuplicates(["id", "elements"]), "sets")
+    sets = scratch.keep(arrow_map(docs.join(met(active.withColumnRenamed("id", "key")), "key", "left_semi"), sets_of, "id long, elements binary").dropDuplicates(["id", "elements"]), "sets")
 
     def labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
         if groups is None:
             return rows.withColumn("component", F.col("id"))
-        return rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return rows.join(met(groups), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     # first pass: every bucket in blocks that a hash deals its members to, differently in each band
     facts = reps.select("id", "n", "s", "p")

@@ -268,6 +268,23 @@ def test_labels_send_no_table_around(spark, monkeypatch):
     assert len(plans) > 2 and not [p for p in [*plans, plan_of(out)] if "BroadcastExchange" in p]
 
 
+def test_near_dedup_sends_no_bands_around(spark, monkeypatch):
+    """28 bands a document, exploded from an array that Spark sizes as one number."""
+    from spindrift.llm import common, minhash
+    from spindrift.llm.components import components
+
+    plans = written_plans(monkeypatch)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2 * 31 + j) % 997}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    out = minhash.near_groups(docs, common.Scratch(spark))
+    assert out.where("doc_id % 2 = 1 and component_id = doc_id - 1").count() == 30
+    banded = [p for p in plans if "bucket#" in p and "explode(bands" in p]
+    assert banded and not [p for p in banded if "BroadcastExchange" in p]
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    plans.clear()
+    found = components(spark.createDataFrame([(3, 2), (2, 1), (9, 8), (8, 8)], "a long, b long"), common.Scratch(spark))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
