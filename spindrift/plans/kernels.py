@@ -14,7 +14,7 @@ from ..functions.imaging import drawn_mask, rasterised, saturation, static_patte
 from ..operators import relational as R
 from ..operators import sequences as Q
 from ..sources.scratch import Scratch
-from ..sources.tables import media, table
+from ..sources.tables import media, spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -121,7 +121,7 @@ def drawn_regions(spark, d):
             out.append((drawn_mask(frame, found, (90, 50, 190, 110)) * np.uint8(255)).tobytes())
         return pd.Series(out)
 
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), lit(masked("s_suppkey", "s_nationkey")).alias("lit"))
+    return spread(table(spark, d, "supplier")).select(F.col("s_suppkey").alias("k"), lit(masked("s_suppkey", "s_nationkey")).alias("lit"))
 
 
 @query("SELECT p_partkey, i::INT AS i, ((p_partkey * 37 + i * 11003) % 65536 - 32768) / 32768.0::DOUBLE AS sample FROM part, range(0, 3) t(i)")

@@ -20,6 +20,12 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks: a small file is one task's, however much work its rows are."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def one_row(df: DataFrame):
     """The row, None without any; more than one is an error."""
     rows = df.limit(2).collect()
