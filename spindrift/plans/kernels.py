@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +15,8 @@ from ..functions.external import polled
 from ..functions.imaging import drawn_mask, rasterised, saturation, static_pattern  # functions travel alone, a module with its UDFs can't
 from ..operators import relational as R
 from ..operators import sequences as Q
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, setting
+from ..sources.service import opened
 from ..sources.tables import media, spread, table
 
 QUERIES: dict = {}
@@ -138,11 +141,28 @@ def wave_samples(spark, d):
 @query("SELECT s_suppkey, base64((s_name || chr(10))::BLOB) AS content, strlen(s_name) + 1 AS length FROM supplier")
 def media_files(spark, d):
     """A file for each supplier, read as base64."""
-    path = Scratch(spark).path("media")
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))
-    rows.write.partitionBy("k").text(path)
-    found = media(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("s_suppkey"), "content", "length")
+    scratch = Scratch(spark)
+    path = scratch.path("media")
+
+    def written(batches):
+        """A folder for each task, whose names are the same if it runs again."""
+        fs, root = opened(path)
+        folder, n = f"{root}/{TaskContext.get().partitionId():05d}", 0
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for k, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_output_stream(f"{folder}/{n}-k={'' if k is None else k}.txt") as out:
+                    out.write(f"{name or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = spread(table(spark, d, "supplier").select("s_suppkey", "s_name"))
+    rows.mapInArrow(written, "n long").agg(F.sum("n")).first()
+    # folders are listed as such, and many small files make a task
+    with setting(spark, spark__sql__files__openCostInBytes=str(1 << 16)):
+        found = scratch.keep(media(spark, f"{path}/*"), "found")
+    scratch.drop("media")
+    return found.select(F.regexp_extract("path", r"-k=(-?\d*)\.txt$", 1).try_cast("long").alias("s_suppkey"), "content", "length")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'first ' ELSE 'second ' END || s_name AS answer FROM supplier")

@@ -128,3 +128,16 @@ def test_static_pattern_and_blend():
     assert got is not None and got[35, 37] == 255 and got[0, 0] == 0 and G.static_pattern(grey[:5]) is None
     f, r = np.zeros((2, 2, 3), np.uint8), np.full((2, 2, 3), 200, np.uint8)
     assert G.blended(f, r, np.array([[0, 255], [128, 0]], np.uint8))[:, :, 0].tolist() == [[0, 200], [100, 0]]
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    """Suppliers that share a key, or have none, have files of their own; files lie in folders of tasks, not in one each."""
+    import base64
+
+    from spindrift.plans import kernels
+
+    rows = [(i % 90, f"s{i}") for i in range(100)] + [(None, "no key"), (-7, "x")]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = kernels.media_files(spark, str(tmp_path)).collect()
+    assert sorted((r.s_suppkey or 0, r.content, r.length) for r in got) == sorted((k or 0, base64.b64encode(f"{n}\n".encode()).decode(), len(n) + 1) for k, n in rows)
+    assert sum(r.s_suppkey is None for r in got) == 1
