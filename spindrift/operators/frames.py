@@ -127,16 +127,27 @@ def steady_masks(frames: DataFrame, by: list[str], frame: str, boxes: str, heigh
 
 #: Pixels around a tile that its rims reach into, and a tile's side.
 HALO, TILE = RIM + 1, 256
+#: Tiles, and bytes of them, that travel as one batch.
+TILES, TILE_BYTES = 256, 1 << 22
 
 
 def tiles(pictures: DataFrame, by: str, rgb: str, height: str, width: str, size: int = TILE) -> DataFrame:
     """Pictures (by: a unique identifier) as tiles with HALO pixels around them: by, tile, y, x (its own first pixel), h, w (its
-    own size), top, left (pixels before it), area (bytes, with those around it), rows, columns (of area)."""
+    own size), top, left (pixels before it), area (bytes, with those around it), rows, columns (of area). A tile's side is HALO
+    at least."""
+    size = max(size, HALO)
     kind = pictures.schema[by].dataType.simpleString()
     names = ["tile", "y", "x", "h", "w", "top", "left", "rows", "columns"]
 
     def run(batches):
+        keys, held, some = [], [], 0
+
+        def made():
+            columns = [pa.array(keys, first), *(pa.array(c, pa.int32()) for c in zip(*(x[:-1] for x in held))), pa.array([x[-1] for x in held], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[by, *names, "area"])
+
         for batch in batches:
+            first = batch.schema.field(0).type
             for key, data, h, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if data is None:
                     continue
@@ -147,7 +158,14 @@ def tiles(pictures: DataFrame, by: str, rgb: str, height: str, width: str, size:
                         top, left = min(HALO, y), min(HALO, x)
                         area = picture[y - top : y + size + HALO, x - left : x + size + HALO]
                         facts = [y // size * across + x // size, y, x, min(size, h - y), min(size, w - x), top, left, *area.shape[:2]]
-                        yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.field(0).type), *(pa.array([v], pa.int32()) for v in facts), pa.array([np.ascontiguousarray(area).tobytes()], pa.binary())], names=[by, *names, "area"])
+                        keys.append(key)
+                        held.append((*facts, area.tobytes()))
+                        some += area.size
+                        if len(held) >= TILES or some >= TILE_BYTES:
+                            yield made()
+                            keys, held, some = [], [], 0
+        if held:
+            yield made()
 
     return pictures.select(by, rgb, height, width).mapInArrow(run, f"`{by}` {kind}, {', '.join(f'{n} int' for n in names)}, area binary")
 
@@ -189,8 +207,9 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     """Glyphs of pictures in tiles (as tiles() gives them): by, plane, x0, x1, y0, y1, area, strict.
 
     Each tile labels the parts of its planes, its surroundings included. Parts
-    of two tiles that share a pixel are one; such links are few, a tile's border
-    long, and join by reachability. Parts of a plane are then measured, and those
+    of two tiles that share a pixel are one: of each area that two tiles see,
+    both name the same few pixels, one of each part in it at least. Such links
+    are few and join by reachability. Parts of a plane are then measured, and those
     of a glyph's size go back to their tiles, where each tile measures the rim
     that lies in its own pixels; a rim's shares decide.
     """
@@ -199,15 +218,25 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     bands = scratch.keep(active_bands(tiled, by), "bands")
     tiled = tiled.join(bands, by, "left")
 
-    def labelled(row, area):
+    def labelled(row, area, only=None):
         planes, maps = colour_planes(area, row["bands"] or [])
-        return {name: components(mask, corners=True) for name, mask in planes.items()}, maps
+        return {name: components(mask, corners=True) for name, mask in planes.items() if only is None or name in only}, maps
+
+    def shared_areas(row):
+        """The parts of a tile's area that a neighbour sees too: strips of its own pixels, and of those around it."""
+        spans = []
+        for before, length, whole in ((row["top"], row["h"], row["rows"]), (row["left"], row["w"], row["columns"])):
+            end = before + length
+            own, out = {0: slice(before, end)}, {0: slice(before, end)}
+            if before:
+                own[-1], out[-1] = slice(before, min(before + HALO, end)), slice(0, before)
+            if end < whole:
+                own[1], out[1] = slice(max(end - HALO, before), end), slice(end, whole)
+            spans.append((own, out))
+        return [(ys[dy], xs[dx]) for ys, xs in zip(*spans) for dy in ys for dx in xs if dy or dx]
 
     def parts(row, area, own):
-        near = np.zeros(area.shape[:2], bool)  # pixels that other tiles see too
-        near[own] = True
-        near[own][HALO:-HALO, HALO:-HALO] = False
-        near[: row["top"]] = near[row["top"] + row["h"] :] = near[:, : row["left"]] = near[:, row["left"] + row["w"] :] = True
+        near = shared_areas(row)
         for plane, labels in labelled(row, area)[0].items():
             ys, xs = np.nonzero(labels[own])
             of = labels[own][ys, xs]
@@ -217,7 +246,15 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
             edges = (np.minimum.reduceat(xs, first), np.maximum.reduceat(xs, first), np.minimum.reduceat(ys, first), np.maximum.reduceat(ys, first)) if len(first) else ([],) * 4
             for label, n, x0, x1, y0, y1 in zip(of[first].tolist(), np.diff(np.append(first, len(of))).tolist(), *(np.asarray(e).tolist() for e in edges)):
                 yield plane, row["tile"] << 32 | label, n, x0, x1, y0, y1, None
-            ys, xs = np.nonzero((labels > 0) & near)
+            named = np.zeros(labels.shape, bool)
+            for at in near:  # pixels without a neighbour above or to the left within the shared area: each part has one
+                inside = labels[at] > 0
+                if inside.any():
+                    lead = inside.copy()
+                    lead[1:] &= ~inside[:-1]
+                    lead[:, 1:] &= ~inside[:, :-1]
+                    named[at] |= lead
+            ys, xs = np.nonzero(named)
             for label, y, x in zip(labels[ys, xs].tolist(), (ys + row["y"] - row["top"]).tolist(), (xs + row["x"] - row["left"]).tolist()):
                 yield plane, row["tile"] << 32 | label, None, None, None, None, None, y << 32 | x
 
@@ -237,7 +274,7 @@ def glyphs(tiled: DataFrame, by: str) -> DataFrame:
     named = named.groupBy(by, F.shiftright("id", 32).cast("int").alias("tile")).agg(F.collect_list(F.struct("plane", F.col("id").bitwiseAND((1 << 32) - 1).alias("label"), "group")).alias("named"))
 
     def rims(row, area, own):
-        labels, maps = labelled(row, area)
+        labels, maps = labelled(row, area, {x["plane"] for x in row["named"]})
         mine = np.zeros(area.shape[:2], bool)
         mine[own] = True
         of: dict = {}

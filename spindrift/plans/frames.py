@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import frames as R
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -77,5 +77,5 @@ def tiled_glyphs(spark, d):
             out.append(picture.tobytes())
         return pd.Series(out)
 
-    pictures = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), drawn("s_suppkey", "s_nationkey").alias("rgb"), F.lit(48).alias("h"), F.lit(96).alias("w"))
+    pictures = spread(table(spark, d, "supplier")).select(F.col("s_suppkey").alias("k"), drawn("s_suppkey", "s_nationkey").alias("rgb"), F.lit(48).alias("h"), F.lit(96).alias("w"))
     return R.glyphs(R.tiles(pictures, "k", "rgb", "h", "w", 32), "k")

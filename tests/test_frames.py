@@ -166,3 +166,22 @@ def test_drawing_is_dealt_to_all_tasks(spark):
     from spindrift.plans import kernels
 
     assert kernels.drawn_regions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_tiles_name_few_shared_pixels(spark, monkeypatch):
+    """A large letter over many tiles: one pixel of it a shared area, not all."""
+    from spindrift.sources.scratch import Scratch
+
+    rows, keep = {}, Scratch.keep
+
+    def kept(self, df, name, *args):
+        out = keep(self, df, name, *args)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    p = np.full((80, 200, 3), 20, np.uint8)
+    p[5:75, 5:95] = 255
+    df = spark.createDataFrame([(1, p.tobytes(), 80, 200)], "k int, rgb binary, h int, w int")
+    assert [(r.x0, r.x1, r.y0, r.y1, r.area) for r in R.glyphs(R.tiles(df, "k", "rgb", "h", "w", 16), "k").where("plane = 'w'").collect()] == [(5, 94, 5, 74, 6300)]
+    assert rows["parts"] < 65 * 2 * 20  # of two planes in 65 tiles
